@@ -20,6 +20,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path()).drop("ids")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands for a repository, its source for the owner."""
+    from kindred.llm.secrets import line, scan
+
+    found = scan(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_id", "source")
+    base = F.filter("spans", lambda s: s["kind_no"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind_no"] == k)).cast("long")
+    told = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(line(base).cast("binary"), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"), told("live").alias("n_live"), told("example").alias("n_example"),
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").documents.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.simhash import near_duplicates
 
@@ -27,5 +47,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op9_simhash": op9_simhash}
+QUERIES = {"op3_packing": op3_packing, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
 SQL: dict[str, str] = {}

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,15 @@ from kindred.llm.shared import batch, small_batches, texts
 WINDOW = 2048
 #: Open windows a task holds at most before it joins them by cutting.
 MAX_OPEN = 8192
-#: Words a worker remembers the ids of.
-MAX_WORDS = 400_000
+#: Words a worker remembers the ids of; beyond, it forgets all but the short ones, which come most often.
+MAX_WORDS, SHORT = 800_000, 7
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
     """Token ids of texts, word by word from a bounded memory.
 
-    Holds for tokenizers in which white space separates and then vanishes, as in word-level BPE with word ends. Only
-    ASCII blanks are cut at, which is a subset of what the tokenizer takes as white space.
+    Holds for tokenizers in which white space separates and then vanishes, as in word-level BPE with word ends.
     """
 
     def __init__(self, path: str):
@@ -43,14 +43,35 @@ class WordIds:
     def encode(self, documents: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MAX_WORDS:
-            self.known = {}
-        known, words = self.known, [x.translate(_BLANKS).split(" ") for x in documents]
-        new = list({w for x in words for w in x if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in x]) for x in words]
+            self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
+        known, words = self.known, [_words(x) for x in documents]
+        new = [(w, *_plain(w)) for w in set(chain.from_iterable(words)).difference(known)]
+        unknown = list({x for _, *xs in new for x in xs if x not in known})
+        for i in range(0, len(unknown), 8192):
+            part = unknown[i : i + 8192]
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+            at = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
+            known.update((w, ids[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
+        known.update((w, known[x] + known[end]) for w, x, end in new)
+        get = known.__getitem__
+        return [b"".join(map(get, x)) for x in words]
+
+
+def _plain(word: str) -> tuple[str, str]:
+    """A word of the same ids and an ending: "The," has the ids of "the" and of ",".
+
+    A comma or full stop behind a letter is a token of its own, and letters are lower-cased. What may be a special token,
+    or isn't ASCII, stays as it is.
+    """
+    end = word[-1:] if word[-1:] in (",", ".") and word[-2:-1].isalpha() else ""
+    body = word[: len(word) - len(end)]
+    return (body.lower() if body.isascii() and "<" not in body else body), end
+
+
+def _words(text: str) -> list[str]:
+    """Split at white space, but for the four information separators, which only Python counts as such."""
+    return text.translate(_BLANKS).split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 _BLANKS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})

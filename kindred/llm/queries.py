@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.shared import table
@@ -14,6 +14,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def remainder(key: str, n: int) -> Column:
+    """crc32 of the key as text modulo n; a null key counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.packing import pack
 
@@ -47,5 +52,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = fit(docs.where(~held_out), "text", "lang")
+    return identify(docs, ["doc_id", held_out.alias("held_out")], "text", model)
+
+
+QUERIES = {"op3_packing": op3_packing, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
 SQL: dict[str, str] = {}

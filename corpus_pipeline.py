@@ -1,12 +1,74 @@
-"""A corpus pipeline: language ID, near-duplicates, secrets, source mixture, packing."""
+"""A corpus pipeline of five stages: language ID, near-duplicates, secrets, mixture of sources, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's docs.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.llm import langid, mixing, packing, secrets, simhash
+from kindred.llm.queries import tokenizer_path
+from kindred.llm.shared import shared_dir, table
+
+#: Documents go whose largest language has a smaller share than this. Languages mix in clean documents, so it is low.
+LEAST_SHARE = 0.2
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found, lang set to it. Those of no letters, or like no language, go.
+
+    The languages are learned from the stage's own documents. Where none has a language, none is rejected.
+    """
+    model = langid.fit(docs, "text", "lang")
+    if not model.languages:
+        return docs
+    found = langid.identify(docs, [F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc")], "text", model)
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    kind = docs.schema["lang"].dataType
+    return kept.select(*[F.col("lang_pred").cast(kind).alias("lang") if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates: that of the smallest doc_id."""
+    return simhash.keep_one(docs, "doc_id", "text")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets that look live replaced in their texts."""
+    return secrets.redacted(docs, "doc_id", "text", "doc_id", "source", length="n_chars")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, a row for each time."""
+    return mixing.mixed_documents(docs, "doc_id", "text", "source", length="n_chars")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows: a row for each piece, its token ids among the columns."""
+    return packing.pack(docs, "doc_id", "text", tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", known_language),
+    ("SimHash near-dedup", without_near_duplicates),
+    ("secret scans", without_secrets),
+    ("source mixing", mixed),
+    ("packing", packed),
+]
+#: Tokenisation, hashing and language models are not expressible in SQL; tests compare with a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

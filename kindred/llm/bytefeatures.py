@@ -33,8 +33,8 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 def joined(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The folded bytes of texts, each between spaces, and where each text begins (one more: the end)."""
-    raw = [t.encode() for t in texts]
+    """The folded bytes of texts in lower case, each between spaces, and where each text begins (one more: the end)."""
+    raw = [t.lower().encode() for t in texts]
     starts = np.cumsum([1, *(len(r) + 1 for r in raw)])
     x = table[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)] if raw else np.full(1, SPACE, np.uint8)
     return x, starts
@@ -51,8 +51,11 @@ def parts(texts: list[str], most: int = 1 << 20) -> list[tuple[int, int]]:
     return [*out, (first, len(texts))] if texts else []
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of every text, and where each text's words begin (one more: the end)."""
+def word_hashes(texts: list[str], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of every word of every text, and where each text's words begin (one more: the end).
+
+    Of each word the first column has the whole, the others its first so many bytes; 0 where it isn't longer than that.
+    """
     x, starts = joined(texts, _WORDS)
     inside = x != SPACE
     change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -61,11 +64,16 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         end = np.append(end, len(x))
     total = np.zeros(len(x) + 1, np.uint64)
     np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(x)), out=total[1:])
-    h = (total[end] - total[begin]) * _power(_INVERSE, len(x))[begin]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h, np.searchsorted(begin, starts)
+    inverse = _power(_INVERSE, len(x))[begin]
+    out = np.zeros((len(begin), 1 + len(prefixes)), np.uint64)
+    for c, most in enumerate((0, *prefixes)):
+        to = np.minimum(begin + most, end) if most else end
+        h = (total[to] - total[begin]) * inverse + np.uint64(c)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        out[:, c] = np.where(end - begin > most, h, np.uint64(0))
+    return out, np.searchsorted(begin, starts)
 
 
 def letter_trigrams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

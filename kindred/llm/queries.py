@@ -19,10 +19,19 @@ def remainder(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.toxicity import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out), "doc_id", "text", "toxic", "lang")
+    return classify(docs, ["doc_id", held_out.alias("held_out")], "text", model, "lang")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path()).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), with_ids=False)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +70,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, ["doc_id", held_out.alias("held_out")], "text", model)
 
 
-QUERIES = {"op3_packing": op3_packing, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
 SQL: dict[str, str] = {}

@@ -39,6 +39,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -46,17 +49,28 @@ class WordIds:
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
         known, words = self.known, [_words(x) for x in documents]
         new = [(w, *_plain(w)) for w in set(chain.from_iterable(words)).difference(known)]
-        unknown = list({x for _, *xs in new for x in xs if x not in known})
-        for i in range(0, len(unknown), 8192):
-            part = unknown[i : i + 8192]
+        unknown = {x for _, *xs in new for x in xs if x not in known}
+        letters = [x for x in unknown if x.isalpha()]
+        for i in range(0, len(letters), 8192):
+            # letters alone are one run, whose last token ends a word: the ends part the ids of many words
+            part = letters[i : i + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+            if len(at) == len(part) + 1:
+                self._learn(part, ids, at)
+        rest = [x for x in unknown if x not in known]
+        for i in range(0, len(rest), 8192):
+            part = rest[i : i + 8192]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
-            at = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
-            known.update((w, ids[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
+            self._learn(part, np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)))
         known.update((w, known[x] + known[end]) for w, x, end in new)
         get = known.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
+    def _learn(self, words: list[str], ids: np.ndarray, at: np.ndarray) -> None:
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
+
 
 def _plain(word: str) -> tuple[str, str]:
     """A word of the same ids and an ending: "The," has the ids of "the" and of ",".
@@ -178,8 +192,8 @@ class SumOfSquares:
         return self.take()
 
 
-def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
-    """docs -> one row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+    """docs -> one row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids, ids.
 
     A null text is an empty one; every document ends with end_id, so an empty one still has one token. A null key
     stays null; repeated rows are packed each. Documents longer than a window give whole windows and a rest. ids are
@@ -189,11 +203,11 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    out = own.mapInArrow(_packer(tokenizer_path, end_id, window), f"key {kind}, {FIELDS}, ids binary")
+    out = own.mapInArrow(_packer(tokenizer_path, end_id, window, with_ids), f"key {kind}, {FIELDS}" + ", ids binary" * with_ids)
     return out.withColumnRenamed("key", key)
 
 
-def _packer(path: str, end_id: int, window: int) -> Callable:
+def _packer(path: str, end_id: int, window: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -212,8 +226,9 @@ def _packer(path: str, end_id: int, window: int) -> Callable:
                         out.append((key, start, n, zlib.crc32(ids), total, number, at, ids))
                         at += n
                     number += 1
-                cols = list(zip(*out, strict=True))
-                yield batch({n: (list(c), t) for n, c, t in zip(("key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"), cols, (kind, *[pa.int64()] * 6, pa.binary()), strict=True)})
+                cols = [list(c) for c in zip(*out, strict=True)]
+                names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+                yield batch(dict(zip(names, zip(cols, (kind, *[pa.int64()] * 6, pa.binary()), strict=True), strict=False)))
 
         for b in batches:
             kind = b.schema.field(0).type

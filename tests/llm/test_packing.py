@@ -48,7 +48,7 @@ def test_whole_documents(spark):
 
 
 def test_edge_cases(spark):
-    texts = {1: None, 2: "", 3: "a b\tc\nd\x0be f g", 4: "word " * 9000, 5: "don't <|endoftext|>x Ünïcödé é ΑΣ 12345 The, THE. don.T 7. x,. ,, <|EndOfText|>. <|endoftext|>, É, A.", 6: "a b", 7: "a b", 8: "\x1c \x85 x", 9: "a\x1c!b \u2000 c\u3000d", 10: "e \u0301x q\u0301"}
+    texts = {1: None, 2: "", 3: "a b\tc\nd\x0be f g", 4: "word " * 9000, 5: "don't <|endoftext|>x Ünïcödé é ΑΣ 12345 The, THE. don.T 7. x,. ,, ǅab ªº ﬁn <|EndOfText|>. <|endoftext|>, É, A.", 6: "a b", 7: "a b", 8: "\x1c \x85 x", 9: "a\x1c!b \u2000 c\u3000d", 10: "e \u0301x q\u0301"}
     docs = spark.createDataFrame([(k, v, "x", 1) for k, v in texts.items()], SCHEMA)
     check(pack(docs, "doc_id", "text", PATH).collect(), texts)
     repeated = pack(docs.union(docs), "doc_id", "text", PATH).collect()

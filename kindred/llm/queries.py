@@ -28,12 +28,33 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, ["doc_id", held_out.alias("held_out")], "text", model, "lang")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.chat import rotations
+
+    rows = rotations(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    spans = F.array_join(F.transform("mask_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return rows.select("conv_id", "perspective", "n_turns", "n_own", "rendered", spans.alias("mask_spans"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), with_ids=False)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.warc import read, write
+
+    archives = write(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return read(archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").withColumnRenamed("component", "component_id")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stands for a repository, its source for the owner."""
     from kindred.llm.secrets import line, scan
@@ -70,5 +91,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, ["doc_id", held_out.alias("held_out")], "text", model)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_vectors": op5_vectors, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
 SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by keys as tables of whole groups, of about `least` rows or more, and where each group begins (one more: the end)."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def edges(t: pa.Table) -> np.ndarray:
+        change = np.zeros(t.num_rows, bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        return np.concatenate([[0], np.flatnonzero(change), [t.num_rows]])
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= least:
+            t = pa.Table.from_batches(held)
+            at = edges(t)
+            if at[-2]:  # the last group may go on
+                yield t.slice(0, int(at[-2])), at[:-1]
+                t = t.slice(int(at[-2]))
+            held = t.to_batches()
+            n = 0 if at[-2] else n
+    if held and (t := pa.Table.from_batches(held)).num_rows:
+        yield t, edges(t)
+
+
 def local_stars(linked: np.ndarray) -> np.ndarray:
     """The component of each row of a symmetric boolean matrix, named by its smallest index."""
     n = len(linked)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.shared import batch, free_name, local_stars, small_batches, stored, texts
+from kindred.llm.shared import batch, free_name, local_stars, runs, small_batches, stored, texts
 
 RADIUS = 3
 #: Fingerprints compared at once. A larger bucket is dealt out as pairs of blocks of about this size.
@@ -82,44 +82,19 @@ def _fingerprints(width: int) -> Callable:
     return run
 
 
-def bucket_blocks(rows: DataFrame, bucket: list[str], member: str, block: int = BLOCK) -> DataFrame:
+def bucket_blocks(rows: DataFrame, bucket: list[str], member: str, block: int = BLOCK, attach: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """rows (bucket..., member, ...) -> those in buckets of two or more, each once for every pair of blocks it is part of.
 
     A bucket of n rows has ceil(n / block) blocks, to which a hash of member deals its rows. Adds bi <= bj (the pair)
     and side (0: of block bi, 1: of bj). Partitioned and sorted by bucket and pair, so that one pair of blocks comes
-    together. A large bucket spreads over many tasks of bounded size.
+    together. A large bucket spreads over many tasks of bounded size. attach may add columns to the rows that remain.
     """
     sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1")
     many = rows.join(sizes, bucket).withColumn("n_in", F.ceil(F.col("n_in") / block).cast("int"))
     own = F.pmod(F.xxhash64(member, F.lit(7)), F.col("n_in")).cast("int")
     dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)))
     pairs = dealt.select(*rows.columns, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    return pairs.repartition(*bucket, "bi", "bj").sortWithinPartitions(*bucket, "bi", "bj")
-
-
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: int = 1 << 16) -> Iterator[dict[str, np.ndarray | list]]:
-    """Rows sorted by keys, one dict of columns for each group; a group may span batches. Nested columns come as Arrow."""
-    rest: pa.Table | None = None
-
-    def split(t: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
-        if not t.num_rows:
-            return [], None
-        change = np.zeros(t.num_rows, bool)
-        for k in keys:
-            x = t.column(k).to_numpy()
-            change[1:] |= x[1:] != x[:-1]
-        at = [0, *np.flatnonzero(change).tolist(), t.num_rows]
-        parts = [t.slice(a, b - a) for a, b in zip(at, at[1:], strict=False)]
-        return (parts, None) if last else (parts[:-1], parts[-1])
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        parts, rest = split(t, False)
-        yield from parts
-    if rest is not None:
-        yield from split(rest, True)[0]
+    return attach(pairs).repartition(*bucket, "bi", "bj").sortWithinPartitions(*bucket, "bi", "bj")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -135,27 +110,25 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 
 def _compare(radius: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us: list[np.ndarray] = []
-        vs: list[np.ndarray] = []
-        for g in groups(batches, ["t", "b", "bi", "bj"]):
-            fp = np.sort(g.column("fp").to_numpy())
-            x = fp.view(np.uint64)
-            if len(fp) == 2:
-                if int(x[0] ^ x[1]).bit_count() <= radius:
-                    us.append(fp[1:])
-                    vs.append(fp[:1])
-                continue
-            near = np.empty((len(x), len(x)), bool)
-            for first in range(0, len(x), 256):
-                near[first : first + 256] = np.bitwise_count(x[first : first + 256, None] ^ x[None, :]) <= radius
-            root = local_stars(near)
-            own = root != np.arange(len(fp))
-            us.append(fp[own])
-            vs.append(fp[root[own]])
-            if len(us) > 4096:
-                yield batch({"u": (np.concatenate(us), pa.int64()), "v": (np.concatenate(vs), pa.int64())})
-                us, vs = [], []
-        if us:
+        for table, bounds in runs(batches, ["t", "b", "bi", "bj"], 4096):
+            every = table.column("fp").to_numpy()
+            us, vs = [], []
+            sizes = np.diff(bounds)
+            pairs = bounds[:-1][sizes == 2]
+            a, b = every[pairs], every[pairs + 1]
+            near = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= radius
+            us.append(np.maximum(a, b)[near])
+            vs.append(np.minimum(a, b)[near])
+            for g in np.flatnonzero(sizes != 2):
+                fp = np.sort(every[bounds[g] : bounds[g + 1]])
+                x = fp.view(np.uint64)
+                linked = np.empty((len(x), len(x)), bool)
+                for first in range(0, len(x), 256):
+                    linked[first : first + 256] = np.bitwise_count(x[first : first + 256, None] ^ x[None, :]) <= radius
+                root = local_stars(linked)
+                own = root != np.arange(len(fp))
+                us.append(fp[own])
+                vs.append(fp[root[own]])
             yield batch({"u": (np.concatenate(us), pa.int64()), "v": (np.concatenate(vs), pa.int64())})
 
     return run

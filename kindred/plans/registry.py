@@ -1,6 +1,292 @@
-"""Named queries over the driver's tables, with the DuckDB SQL that has to give the same rows."""
+"""Named queries over the driver's tables, with the DuckDB SQL that has to give the same rows.
+
+Names come from the part table: labels of a part (its name and type, in capitals and with punctuation, so that normalisation
+has work to do) are matched against plain part names.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.functions.grams import trigrams
+from kindred.functions.normalize import direct_download_url, normalize_name, pasted_names
+from kindred.operators import assess as _assess
+from kindred.operators import calibrate
+from kindred.operators.blocking import candidates, trigram_index
+from kindred.operators.link import link, lookup, resolve, top_matches
+from kindred.operators.matching import impute_column_means, name_pairs, vector_pairs
+from kindred.sources.files import clean_directory
+
+THRESHOLDS = {"jaccard": 0.6, "qgram": 14.0, "cosine": 0.4, "lv": 10.0, "hamming": 6.0, "dl": 10.0, "osa": 10.0, "lcs": 12.0, "jw": 0.3, "soundex": 0.0}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.upper(F.concat_ws(", ", "p_name", "p_type"))
+    return _table(spark, sf_dir, "part").select(label.alias("label")).distinct()
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_name").distinct()
+
+
+def _normal(df: DataFrame, column: str) -> DataFrame:
+    return df.select(normalize_name(F.col(column)).alias("name"))
+
+
+def _directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select(F.col("p_name").alias("alias_name"), F.substring_index("p_name", " ", -1).alias("canonical_id"))
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+# the same in SQL
+_N = lambda c: rf"regexp_replace(regexp_replace(lower({c}), '[\t\n\f\r\pZ]+', ' ', 'g'), '\pP', '', 'g')"
+_X = "select distinct upper(p_name || ', ' || p_type) as label from part"
+_Y = "select distinct p_name from part"
+_TRI = "case when len(name) >= 3 then [substr(name, i, 3) for i in range(1, least(len(name) - 2, 100) + 1)] when len(name) > 0 then [name] else [] end"
+_GRAMS = lambda c: f"[substr({c}, i, 2) for i in range(1, len({c}))]"
+_COUNT = lambda xs, g: f"len(list_filter({xs}, lambda z: z = {g}))"
+
+
+def _blocked(x: str = f"select distinct {_N('label')} as name from ({_X})", y: str = f"select distinct {_N('p_name')} as name from ({_Y})", probe: str = "right") -> str:
+    """CTEs up to pairs(left_name, right_name)."""
+    p, o = ("y", "x") if probe == "right" else ("x", "y")
+    left, right = ("other", "probe") if probe == "right" else ("probe", "other")
+    return f"""x as ({x}), y as ({y}),
+      p1 as (select name, {_TRI} as t from {p}), o1 as (select name, {_TRI} as t from {o}),
+      p2 as (select name as probe, ceil(len(t) * 0.05) as least_, unnest(list_distinct(t)) as g from p1),
+      o2 as (select name as other, g, count(*) as n from (select name, unnest(t) as g from o1) group by all),
+      c as (select probe, other from p2 join o2 using (g) group by probe, other, least_ having sum(n) >= least_),
+      pairs as (select {left} as left_name, {right} as right_name from c)"""
+
+
+_A, _B = _GRAMS("left_name"), _GRAMS("right_name")
+_BOTH = f"list_distinct(list_concat({_A}, {_B}))"
+_ENOUGH = "len(left_name) >= 2 and len(right_name) >= 2"
+_DOT = lambda xs, ys: f"coalesce(list_sum([{_COUNT(xs, 'g')} * {_COUNT(ys, 'g')} for g in {_BOTH}]), 0)::double"
+DISTANCE_SQL = {
+    "jaccard": f"case when {_ENOUGH} then 1 - len(list_intersect({_A}, {_B})) / len({_BOTH}) end",
+    "qgram": f"case when {_ENOUGH} then list_sum([abs({_COUNT(_A, 'g')} - {_COUNT(_B, 'g')}) for g in {_BOTH}])::double end",
+    "cosine": f"case when {_ENOUGH} then greatest(0, 1 - {_DOT(_A, _B)} / sqrt({_DOT(_A, _A)} * {_DOT(_B, _B)})) end",
+    "lv": "levenshtein(left_name, right_name)::double",
+    "dl": "damerau_levenshtein(left_name, right_name)::double",
+    "hamming": "case when len(left_name) = len(right_name) then hamming(left_name, right_name)::double end",
+    "jw": "1 - jaro_similarity(left_name, right_name)",
+}
+
+
+def _fuzzy(method: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        left = _normal(_names(spark, sf_dir), "p_name") if method == "hamming" else _normal(_labels(spark, sf_dir), "label")  # that needs equal lengths
+        found = name_pairs(left, _normal(_names(spark, sf_dir), "p_name"), "name", "name", method, probe="right", max_dist=THRESHOLDS[method])
+        return _round(found, "stringdist")
+
+    return query
+
+
+def _fuzzy_sql(method: str) -> str:
+    blocked = _blocked(f"select distinct {_N('p_name')} as name from ({_Y})") if method == "hamming" else _blocked()
+    return f"with {blocked}, d as (select *, {DISTANCE_SQL[method]} as d from pairs) select left_name, right_name, round(d, 9) as stringdist from d where d <= {THRESHOLDS[method]}"
+
+
+def normalize_names(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", normalize_name(F.col("text")).alias("name"))
+
+
+def direct_urls(spark, sf_dir):
+    shared = F.concat(F.lit("https://www.dropbox.com/s/"), F.col("page_id").cast("string"), F.lit("/file.csv?dl=0&from="), F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", direct_download_url(shared).alias("url"))
+
+
+def pasted_lines(spark, sf_dir):
+    return pasted_names(_table(spark, sf_dir, "documents"), "text").groupBy("names").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trigram_counts(spark, sf_dir):
+    return trigram_index(_normal(_labels(spark, sf_dir), "label"), "name")
+
+
+def trigram_candidates(spark, sf_dir):
+    return candidates(_normal(_names(spark, sf_dir), "p_name"), _normal(_labels(spark, sf_dir), "label"))
+
+
+def calibrate_names(spark, sf_dir):
+    x, y = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    t = calibrate.name_threshold(_normal(x, "n_name"), _normal(y, "r_name"), "name", "name", 2.0)
+    return _round(spark.createDataFrame([(t,)], "threshold double"), "threshold")
+
+
+def link_calibrated(spark, sf_dir):
+    x, y = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _table(spark, sf_dir, "region")
+    return _round(link(x, y, left_on="n_name", right_on="r_name", target_matches=2.0), "stringdist", "minDist")
+
+
+
+
+def _quantile(table: str) -> str:
+    """CTEs up to t(t): the linearly interpolated quantile p(p) of table(d), 1e-6 at least."""
+    return f"""ranked as (select d, row_number() over (order by d) - 1 as i from {table}), at_ as (select (select count(*) - 1 from {table}) * p as at_ from p),
+      t as (select greatest(1e-6, lo.d + (hi.d - lo.d) * (at_ - floor(at_))) as t from at_ join ranked lo on lo.i = floor(at_) join ranked hi on hi.i = ceil(at_))"""
+
+
+_NATIONS = f"""with {_blocked(f"select distinct {_N('n_name')} as name from nation", f"select distinct {_N('r_name')} as name from region")},
+  a as (select {_N('n_name')} as name, n_nationkey, n_name from nation), b as (select {_N('r_name')} as name, r_regionkey, r_name from region),
+  d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
+  every as (select d from d join a on left_name = a.name join b on right_name = b.name),
+  p as (select least(1.0, 2.0 / sqrt((select count(*) from nation) * (select count(*) from region))) as p), {_quantile('every')}"""
+
+
+def link_parts(spark, sf_dir):
+    """A whole table with its columns against distinct names, one row for each pair of raw names."""
+    x = _table(spark, sf_dir, "part").select("p_partkey", F.upper(F.concat_ws(", ", "p_name", "p_type")).alias("label"), "p_size")
+    y = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    return _round(link(x, y, left_on="label", right_on="p_name", max_dist=0.5), "stringdist", "minDist")
+
+
+def link_left(spark, sf_dir):
+    x = _labels(spark, sf_dir)
+    return _round(link(x, _names(spark, sf_dir), left_on="label", right_on="p_name", max_dist=0.45, how="left"), "stringdist", "minDist")
+
+
+def directory_aliases(spark, sf_dir):
+    return clean_directory(_directory(spark, sf_dir))
+
+
+def network_resolve(spark, sf_dir):
+    labels = _labels(spark, sf_dir).select(F.col("label").alias("raw"), normalize_name(F.col("label")).alias("name"))
+    return _round(resolve(labels, clean_directory(_directory(spark, sf_dir)), max_dist=0.6), "d")
+
+
+def network_link(spark, sf_dir):
+    found = link(_labels(spark, sf_dir), _names(spark, sf_dir), left_on="label", right_on="p_name", algorithm="network", directory=_directory(spark, sf_dir), max_dist=0.45, max_dist_network=0.5)
+    return _round(found, "stringdist", "stringdist_x2network", "stringdist_y2network", "minDist")
+
+
+def exact_lookup(spark, sf_dir):
+    return lookup(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", _directory(spark, sf_dir))
+
+
+def top_names(spark, sf_dir):
+    return top_matches(_fuzzy("jaccard")(spark, sf_dir), 3)
+
+
+def assess_names(spark, sf_dir):
+    label = F.upper(F.concat_ws(", ", "p_name", "p_type"))
+    truth = _table(spark, sf_dir, "part").select(normalize_name(label).alias("left_name"), normalize_name(F.col("p_name")).alias("right_name"))
+    x, y = _normal(_labels(spark, sf_dir), "label").toDF("left_name"), _normal(_names(spark, sf_dir), "p_name").toDF("right_name")
+    return _assess.scores(_assess.assess(x, y, _fuzzy("jaccard")(spark, sf_dir), truth, "left_name", "right_name"))
+
+
+def _vectors(metric, limit):
+    def query(spark, sf_dir):
+        e = _table(spark, sf_dir, "embeddings")
+        return _round(vector_pairs(e, e, "vec_id", "vec_id", "embedding", "embedding", limit, metric), "stringdist")
+
+    return query
+
+
+def manhattan(vector, others):
+    """An own metric, as a user would give it."""
+    return abs(others - vector).sum(axis=1)
+
+
+def calibrate_vectors(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    return _round(spark.createDataFrame([(calibrate.vector_threshold(e, e, "embedding", "embedding", 5.0),)], "threshold double"), "threshold")
+
+
+def assess_vectors(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    x, y = e.select(F.col("vec_id").alias("left_id")), e.select(F.col("vec_id").alias("right_id"))
+    truth = e.select(F.col("vec_id").alias("left_id"), "label").join(e.select(F.col("vec_id").alias("right_id"), "label"), "label")
+    return _assess.assess(x, y, _vectors("euclidean", 1.2)(spark, sf_dir), truth, "left_id", "right_id")
+
+
+def impute_vectors(spark, sf_dir):
+    holes = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when(F.pmod(F.col("vec_id") + i, F.lit(7)) != 0, x))
+    filled = impute_column_means(_table(spark, sf_dir, "embeddings").select("vec_id", holes.alias("embedding")), "embedding")
+    return filled.select("vec_id", F.posexplode("embedding").alias("place", "x")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("x", 9).alias("x"))
+
+
+def trigrams_of_texts(spark, sf_dir):
+    named = _table(spark, sf_dir, "documents").select("doc_id", normalize_name(F.col("text")).alias("name"))
+    return named.select("doc_id", trigrams(F.col("name")).alias("first")).select("doc_id", F.size("first").cast("long").alias("n"), F.array_join("first", "|").alias("trigrams"))
+
+
+_PAIR = "from embeddings a, embeddings b"
+_ZIP = lambda f: f"list_sum([{f} for i in range(1, 65)])"
+_DIFF = "(a.embedding[i]::double - b.embedding[i]::double)"
+_EUCLID = f"sqrt({_ZIP(f'{_DIFF} * {_DIFF}')})"
+
+
+def _vector_sql(expression: str, limit: float) -> str:
+    return f"with d as (select a.vec_id as left_id, b.vec_id as right_id, {expression} as d {_PAIR}) select left_id, right_id, round(d, 9) as stringdist from d where d <= {limit}"
+
+
+QUERIES = {
+    "normalize_names": normalize_names, "direct_urls": direct_urls, "pasted_lines": pasted_lines, "trigrams_of_texts": trigrams_of_texts,
+    "trigram_counts": trigram_counts, "trigram_candidates": trigram_candidates,
+    "fuzzy_jaccard_fixed": _fuzzy("jaccard"), **{f"fuzzy_{m}": _fuzzy(m) for m in THRESHOLDS if m != "jaccard"},
+    "calibrate_names": calibrate_names, "link_calibrated": link_calibrated, "link_parts": link_parts, "link_left": link_left,
+    "directory_aliases": directory_aliases, "network_resolve": network_resolve, "network_link": network_link, "exact_lookup": exact_lookup,
+    "top_names": top_names, "assess_names": assess_names, "embed_match": _vectors("euclidean", 1.2), "embed_rmse": _vectors("rmse_eps", 0.15),
+    "embed_custom_metric": _vectors(manhattan, 7.0), "calibrate_vectors": calibrate_vectors, "assess_vectors": assess_vectors, "impute_vectors": impute_vectors,
+}
+
+_TRUTH = f"select distinct {_N(chr(39) + chr(39) + ' || upper(p_name || ' + chr(39) + ', ' + chr(39) + ' || p_type)')} as left_name, {_N('p_name')} as right_name from part"
+_RAW = f"""rx as (select label as raw, {_N('label')} as name from ({_X})), ry as (select p_name as raw, {_N('p_name')} as name from ({_Y}))"""
+_ALIASES = f"select {_N('p_name')} as alias_name, min(regexp_extract(p_name, '[^ ]*$')) as canonical_id from ({_Y}) where trim({_N('p_name')}) <> '' group by 1"
+SQL: dict[str, str] = {
+    "normalize_names": f"select doc_id, {_N('text')} as name from documents",
+    "direct_urls": "select page_id, replace('https://www.dropbox.com/s/' || page_id || '/file.csv?dl=0&from=' || url, 'https://www.dropbox.com', 'https://dl.dropboxusercontent.com') as url from pages",
+    "pasted_lines": r"with l as (select regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') as names from documents) select names, count(*) as n from l where names <> '' group by 1",
+    "trigrams_of_texts": f"with n as (select doc_id, {_N('text')} as name from documents), t as (select doc_id, {_TRI} as t from n) select doc_id, len(t) as n, array_to_string(t, '|') as trigrams from t",
+    "trigram_counts": f"with x as (select distinct {_N('label')} as name from ({_X})), t as (select name, unnest({_TRI}) as trigram from x) select name, trigram, count(*) as n from t group by all",
+    "trigram_candidates": f"with {_blocked()} select right_name as probe, left_name as other from pairs",
+    "fuzzy_jaccard_fixed": _fuzzy_sql("jaccard"), **{f"fuzzy_{m}": _fuzzy_sql(m) for m in DISTANCE_SQL if m != "jaccard"},
+    "calibrate_names": f"{_NATIONS} select round(t, 9) as threshold from t",
+    "link_calibrated": f"""{_NATIONS}, n as (select n_name, min(n_nationkey) as n_nationkey from nation group by 1), r as (select r_name, min(r_regionkey) as r_regionkey from region group by 1)
+      select n_nationkey, n_name, r_regionkey, r_name, round(d, 9) as stringdist, round(d, 9) as "minDist"
+      from d join n on {_N('n_name')} = left_name join r on {_N('r_name')} = right_name, t where d <= t""",
+    "link_parts": f"""with {_blocked()}, {_RAW}, d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
+      fx as (select label, min((p_partkey, p_size)) as s from (select p_partkey, upper(p_name || ', ' || p_type) as label, p_size from part) group by 1),
+      fy as (select p_name, min(p_partkey) as k from part group by 1)
+      select s[1] as p_partkey_x, label, s[2] as p_size, p_name, k as p_partkey_y, round(d, 9) as stringdist, round(d, 9) as "minDist"
+      from d join rx on rx.name = left_name join ry on ry.name = right_name join fx on label = rx.raw join fy on p_name = ry.raw where d <= 0.5""",
+    "link_left": f"""with {_blocked()}, {_RAW}, d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
+      m as (select rx.raw as label, ry.raw as p_name, round(d, 9) as d from d join rx on rx.name = left_name join ry on ry.name = right_name where d <= 0.45)
+      select rx.raw as label, p_name, d as stringdist, d as "minDist" from rx left join m on m.label = rx.raw""",
+    "directory_aliases": _ALIASES,
+    "network_resolve": f"""with {_blocked()}, {_RAW}, dir as ({_ALIASES}), d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs)
+      select rx.raw as raw, canonical_id, round(min(d), 9) as d from d join rx on rx.name = left_name join dir on alias_name = right_name where d <= 0.6 group by all""",
+    "network_link": f"""with {_blocked()}, {_RAW}, dir as ({_ALIASES}), d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
+      raw_ as (select rx.raw as label, ry.raw as p_name, d from d join rx on rx.name = left_name join ry on ry.name = right_name where d <= 0.45),
+      nx as (select rx.raw as label, canonical_id, min(d) as dx from d join rx on rx.name = left_name join dir on alias_name = right_name where d <= 0.5 group by all),
+      yy as (select a.name as left_name, b.alias_name as right_name, b.canonical_id, a.raw from ry a, dir b),
+      ny as (select raw as p_name, canonical_id, min(d) as dy from (select *, {DISTANCE_SQL['jaccard']} as d from yy) where d <= 0.5 group by all),
+      hop as (select label, p_name, dx, dy, canonical_id, 1.5 * greatest(dx, dy) as net from nx join ny using (canonical_id)
+        qualify row_number() over (partition by label, p_name order by net, canonical_id) = 1)
+      select label, p_name, round(d, 9) as stringdist, round(dx, 9) as stringdist_x2network, round(dy, 9) as stringdist_y2network, canonical_id,
+        round(least(d, net), 9) as "minDist" from raw_ full join hop using (label, p_name)""",
+    "exact_lookup": f"with dir as ({_ALIASES}) select p_partkey, p_name, canonical_id from part join dir on alias_name = {_N('p_name')}",
+    "top_names": f"select * from (select *, row_number() over (partition by left_name order by stringdist, right_name) as rank from ({_fuzzy_sql('jaccard')})) where rank <= 3",
+    "assess_names": f"""with z as (select left_name, right_name from ({_fuzzy_sql('jaccard')})), t as ({_TRUTH}),
+      c as (select (select count(*) from (from z intersect from t)) as tp, (select count(*) from (from z except from t)) as fp, (select count(*) from (from t except from z)) as fn),
+      u as (select (select count(distinct {_N('label')}) from ({_X})) * (select count(distinct {_N('p_name')}) from ({_Y})) as u)
+      select tp, fp, fn, u - tp - fp - fn as tn, tp + fp as n_matched, tp / (tp + fp) as "precision", tp / (tp + fn) as recall, 2 * tp / (2 * tp + fp + fn) as f1 from c, u""",
+    "embed_match": _vector_sql(_EUCLID, 1.2), "embed_rmse": _vector_sql(f"sqrt(1e-4 + {_ZIP(f'{_DIFF} * {_DIFF}')} / 64)", 0.15),
+    "embed_custom_metric": _vector_sql(_ZIP(f"abs({_DIFF})"), 7.0),
+    "calibrate_vectors": f"with d as (select {_EUCLID} as d {_PAIR}), p as (select least(1.0, 5.0 / (select count(*) from embeddings)) as p), {_quantile('d')} select round(t, 9) as threshold from t",
+    "assess_vectors": f"""with d as (select a.label = b.label as same, {_EUCLID} <= 1.2 as hit {_PAIR})
+      select count(*) filter (hit and same) as tp, count(*) filter (hit and not same) as fp, count(*) filter (not hit and same) as fn,
+        count(*) filter (not hit and not same) as tn, count(*) filter (hit) as n_matched from d""",
+    "impute_vectors": """with c as (select vec_id, i - 1 as place, case when (vec_id + i - 1) % 7 <> 0 then embedding[i]::double end as x from embeddings, range(1, 65) r(i))
+      select vec_id, place, round(coalesce(x, avg(x) over (partition by place)), 9) as x from c""",
+}

@@ -82,6 +82,18 @@ DISTANCE_SQL = {
 }
 
 
+def _quantile(table: str) -> str:
+    """CTEs up to t(t): the linearly interpolated quantile p(p) of table(d), 1e-6 at least."""
+    return f"""ranked as (select d, row_number() over (order by d) - 1 as i from {table}), at_ as (select (select count(*) - 1 from {table}) * p as at_ from p),
+      t as (select greatest(1e-6, lo.d + (hi.d - lo.d) * (at_ - floor(at_))) as t from at_ join ranked lo on lo.i = floor(at_) join ranked hi on hi.i = ceil(at_))"""
+
+
+_OWN = f"select distinct {_N('p_name')} as name from ({_Y})"
+#: Names against themselves, with the threshold for two matches each.
+_CALIBRATED = f"""with {_blocked(_OWN, _OWN, "left")}, d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
+  p as (select least(1.0, 2.0 / (select count(*) from ({_Y}))) as p), {_quantile('d')}"""
+
+
 def _fuzzy(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = _normal(_names(spark, sf_dir), "p_name") if method == "hamming" else _normal(_labels(spark, sf_dir), "label")  # that needs equal lengths
@@ -118,29 +130,13 @@ def trigram_candidates(spark, sf_dir):
 
 
 def calibrate_names(spark, sf_dir):
-    x, y = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
-    t = calibrate.name_threshold(_normal(x, "n_name"), _normal(y, "r_name"), "name", "name", 2.0)
-    return _round(spark.createDataFrame([(t,)], "threshold double"), "threshold")
+    x = _normal(_names(spark, sf_dir), "p_name")
+    return _round(spark.createDataFrame([(calibrate.name_threshold(x, x, "name", "name", 2.0),)], "threshold double"), "threshold")
 
 
 def link_calibrated(spark, sf_dir):
-    x, y = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _table(spark, sf_dir, "region")
-    return _round(link(x, y, left_on="n_name", right_on="r_name", target_matches=2.0), "stringdist", "minDist")
-
-
-
-
-def _quantile(table: str) -> str:
-    """CTEs up to t(t): the linearly interpolated quantile p(p) of table(d), 1e-6 at least."""
-    return f"""ranked as (select d, row_number() over (order by d) - 1 as i from {table}), at_ as (select (select count(*) - 1 from {table}) * p as at_ from p),
-      t as (select greatest(1e-6, lo.d + (hi.d - lo.d) * (at_ - floor(at_))) as t from at_ join ranked lo on lo.i = floor(at_) join ranked hi on hi.i = ceil(at_))"""
-
-
-_NATIONS = f"""with {_blocked(f"select distinct {_N('n_name')} as name from nation", f"select distinct {_N('r_name')} as name from region")},
-  a as (select {_N('n_name')} as name, n_nationkey, n_name from nation), b as (select {_N('r_name')} as name, r_regionkey, r_name from region),
-  d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
-  every as (select d from d join a on left_name = a.name join b on right_name = b.name),
-  p as (select least(1.0, 2.0 / sqrt((select count(*) from nation) * (select count(*) from region))) as p), {_quantile('every')}"""
+    x = _names(spark, sf_dir)
+    return _round(link(x, x, on="p_name", target_matches=2.0), "stringdist", "minDist")
 
 
 def link_parts(spark, sf_dir):
@@ -251,10 +247,10 @@ SQL: dict[str, str] = {
     "trigram_counts": f"with x as (select distinct {_N('label')} as name from ({_X})), t as (select name, unnest({_TRI}) as trigram from x) select name, trigram, count(*) as n from t group by all",
     "trigram_candidates": f"with {_blocked()} select right_name as probe, left_name as other from pairs",
     "fuzzy_jaccard_fixed": _fuzzy_sql("jaccard"), **{f"fuzzy_{m}": _fuzzy_sql(m) for m in DISTANCE_SQL if m != "jaccard"},
-    "calibrate_names": f"{_NATIONS} select round(t, 9) as threshold from t",
-    "link_calibrated": f"""{_NATIONS}, n as (select n_name, min(n_nationkey) as n_nationkey from nation group by 1), r as (select r_name, min(r_regionkey) as r_regionkey from region group by 1)
-      select n_nationkey, n_name, r_regionkey, r_name, round(d, 9) as stringdist, round(d, 9) as "minDist"
-      from d join n on {_N('n_name')} = left_name join r on {_N('r_name')} = right_name, t where d <= t""",
+    "calibrate_names": f"{_CALIBRATED} select round(t, 9) as threshold from t",
+    "link_calibrated": f"""{_CALIBRATED}, r as (select p_name as raw, {_N('p_name')} as name from ({_Y}))
+      select a.raw as p_name_x, b.raw as p_name_y, round(d, 9) as stringdist, round(d, 9) as "minDist"
+      from d join r a on a.name = left_name join r b on b.name = right_name, t where d <= t""",
     "link_parts": f"""with {_blocked()}, {_RAW}, d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
       fx as (select label, min((p_partkey, p_size)) as s from (select p_partkey, upper(p_name || ', ' || p_type) as label, p_size from part) group by 1),
       fy as (select p_name, min(p_partkey) as k from part group by 1)

@@ -10,9 +10,11 @@ the last remainder is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ WINDOW = 2048
 #: Open windows a task holds at most before it joins them by cutting.
 MAX_OPEN = 8192
 #: Words a worker remembers the ids of; beyond, it forgets all but the short ones, which come most often.
-MAX_WORDS, SHORT = 800_000, 7
+MAX_WORDS, SHORT = 1_400_000, 8
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,11 +47,20 @@ class WordIds:
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        gc.disable()  # nothing here is cyclic, and the many strings make collections slow
+        try:
+            return self._encode(documents)
+        finally:
+            gc.enable()
+
+    def _encode(self, documents: list[str]) -> list[bytes]:
         if len(self.known) > MAX_WORDS:
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
         known, words = self.known, [_words(x) for x in documents]
-        new = [(w, *_plain(w)) for w in set(chain.from_iterable(words)).difference(known)]
-        unknown = {x for _, *xs in new for x in xs if x not in known}
+        new = list(set(chain.from_iterable(words)).difference(known))
+        plain = list(map(_plain, new))
+        ends = [w[-1:] if len(x) < len(w) else "" for w, x in zip(new, plain, strict=True)]
+        unknown = set(plain).union(ends).difference(known)
         letters = [x for x in unknown if x.isalpha()]
         for i in range(0, len(letters), 8192):
             # letters alone are one run, whose last token ends a word: the ends part the ids of many words
@@ -63,8 +74,8 @@ class WordIds:
             part = rest[i : i + 8192]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             self._learn(part, np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)))
-        known.update((w, known[x] + known[end]) for w, x, end in new)
         get = known.__getitem__
+        known.update(zip(new, map(add, map(get, plain), map(get, ends)), strict=True))
         return [b"".join(map(get, x)) for x in words]
 
     def _learn(self, words: list[str], ids: np.ndarray, at: np.ndarray) -> None:
@@ -72,15 +83,15 @@ class WordIds:
         self.known.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
 
 
-def _plain(word: str) -> tuple[str, str]:
-    """A word of the same ids and an ending: "The," has the ids of "the" and of ",".
+def _plain(word: str) -> str:
+    """A word of the same ids but for an ending: "The," has the ids of "the" and of ",".
 
     A comma or full stop behind a letter is a token of its own, and letters are lower-cased. What may be a special token,
     or isn't ASCII, stays as it is.
     """
-    end = word[-1:] if word[-1:] in (",", ".") and word[-2:-1].isalpha() else ""
-    body = word[: len(word) - len(end)]
-    return (body.lower() if body.isascii() and "<" not in body else body), end
+    if word.endswith((",", ".")) and word[-2:-1].isalpha():
+        word = word[:-1]
+    return word.lower() if word.isascii() and "<" not in word else word
 
 
 def _words(text: str) -> list[str]:

@@ -19,8 +19,8 @@ from kindred.llm.shared import stored
 BLOCK = 1024
 #: Points are integers below this; the step is the odd number next to it divided by the golden ratio.
 RANGE, STEP = 1 << 31, 1327217885
-#: Slots ranked together, and cells by which points meet sources.
-CHUNK, CELLS = 4096, 1024
+#: Slots ranked together, chunks of slots summed together, and cells by which points meet sources.
+CHUNK, SPAN, CELLS = 256, 256, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,9 +77,13 @@ def _slots(goals: DataFrame, block: int) -> DataFrame:
     points = spark.range(n).select(F.col("id").alias("slot"), F.pmod(F.pmod("id", F.lit(RANGE)) * F.lit(STEP), F.lit(RANGE)).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / cell))
     hit = points.join(by_cell, "cell").where("point >= low and point < high").select("slot", "source", "need", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    in_chunk = hit.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    in_chunk = in_chunk.select(F.col("source").alias("s"), F.col("chunk").alias("c"), earlier.alias("earlier"))
+    # ranks within each source by prefix sums of three levels, so that a source with many slots is no single task
+    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_chunk = hit.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.floor(F.col("chunk") / SPAN))
+    in_span = in_chunk.groupBy("source", "span").agg(F.sum("n").alias("n_span"))
+    in_span = in_span.select(F.col("source").alias("s1"), F.col("span").alias("p1"), before("n_span", "source", "span").alias("before1"))
+    in_chunk = in_chunk.withColumn("before2", before("n", "source", "span", "chunk")).join(in_span, F.col("source").eqNullSafe(F.col("s1")) & (F.col("span") == F.col("p1")))
+    in_chunk = in_chunk.select(F.col("source").alias("s"), F.col("chunk").alias("c"), (F.col("before1") + F.col("before2")).alias("earlier"))
     ranked = hit.join(in_chunk, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
     ranked = ranked.withColumn("k", F.col("earlier") + F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1)
     own = ranked.where("k < need").select("slot", "source", "k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.llm import oracles
 from kindred.llm.shared import table
 
 
@@ -55,6 +56,13 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").withColumnRenamed("component", "component_id")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.media import round_trip
+
+    found = round_trip(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stands for a repository, its source for the owner."""
     from kindred.llm.secrets import line, scan
@@ -91,5 +99,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, ["doc_id", held_out.alias("held_out")], "text", model)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_vectors": op5_vectors, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_packing": op3_packing, "op4_warc": op4_warc, "op5_vectors": op5_vectors, "op6_media": op6_media, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_langid": op10_langid}
+SQL: dict[str, str] = {"op2_chat": oracles.CHAT, "op4_warc": oracles.WARC, "op5_vectors": oracles.VECTORS, "op7_secrets": oracles.SECRETS, "op8_mixing": oracles.MIXING}

@@ -27,8 +27,8 @@ select page_id, strlen(body) as payload_bytes, sha1(body) as payload_digest,
 """
 
 VECTORS = """
-with recursive e as (select vec_id, label, list_transform(embedding, x -> x::double) as v from embeddings where label is not null and embedding is not null
-    and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, x -> x <> 0))),
+with recursive e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings where label is not null and embedding is not null
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
   links as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.98),
   reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
   least_ as (select a, min(b) as b from reach group by a),
@@ -45,7 +45,7 @@ def _sql(text: str) -> str:
 def _spans(kind: int, name: str, pattern: str, group: int) -> str:
     """Spans of a pattern: the text is marked and split, so that every other part is a match, and lengths add up."""
     return f"""s{kind} as (select doc_id, source, string_split(regexp_replace(text, {_sql(pattern)}, chr(1) || '\\0' || chr(1), 'g'), chr(1)) as parts, regexp_extract_all(text, {_sql(pattern)}, {group}) as vals from d),
-  l{kind} as (select *, list_transform(parts, p -> length(p)) as sizes from s{kind}),
+  l{kind} as (select *, list_transform(parts, lambda p: length(p)) as sizes from s{kind}),
   m{kind} as (select doc_id, source, {kind} as kind, '{name}' as name, list_sum(sizes[:2 * i - 1])::bigint as start_, list_sum(sizes[:2 * i])::bigint as end_, vals[i] as val
     from l{kind}, lateral (select unnest(range(1, len(vals) + 1)) as i))"""
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.shared import batch, free_name, local_stars, runs, small_batches, stored, texts
+from kindred.llm.shared import batch, cut, free_name, local_stars, runs, small_batches, stored, texts
 
 RADIUS = 3
 #: Fingerprints compared at once. A larger bucket is dealt out as pairs of blocks of about this size.
@@ -89,7 +89,8 @@ def bucket_blocks(rows: DataFrame, bucket: list[str], member: str, block: int =
     and side (0: of block bi, 1: of bj). Partitioned and sorted by bucket and pair, so that one pair of blocks comes
     together. A large bucket spreads over many tasks of bounded size. attach may add columns to the rows that remain.
     """
-    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1")
+    # the sizes are written apart, so that the join's two sides are plain shuffles and a large bucket can be split
+    sizes = cut(rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1"))
     many = rows.join(sizes, bucket).withColumn("n_in", F.ceil(F.col("n_in") / block).cast("int"))
     own = F.pmod(F.xxhash64(member, F.lit(7)), F.col("n_in")).cast("int")
     dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)))
@@ -144,7 +145,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 3, radius
     nodes = stored(own.groupBy("fp").agg(F.min("key").alias("first")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component")))  # so that a large component can be split in the join
     labels = named.join(least, "root").select("fp", "component")
     return own.join(labels, "fp", "left").select(F.col("key").alias(key), "fp", "component")
 

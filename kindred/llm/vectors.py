@@ -66,12 +66,13 @@ def _keys(bits: int, tables: int) -> Callable:
         for b in batches:
             if not b.num_rows:
                 continue
-            dims, vec = b.column(1).to_numpy(), b.column(2)
+            labels, dims, vec = b.column(1), b.column(2).to_numpy(), b.column(3)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 k = keys(units(_matrix(vec.take(pa.array(at)))), bits, tables)
                 n = len(at)
-                yield batch({"node": (np.repeat(b.column(0).to_numpy()[at], tables), pa.int64()), "t": (np.tile(np.arange(tables), n), pa.int32()), "b": (k.ravel(), pa.int64())})
+                each = np.repeat(at, tables)
+                yield batch({"node": (b.column(0).to_numpy()[each], pa.int64()), "label": (labels.take(pa.array(each)), None), "dim": (dims[each], pa.int32()), "t": (np.tile(np.arange(tables), n), pa.int32()), "b": (k.ravel(), pa.int64())})
 
     return run
 
@@ -176,14 +177,13 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshol
     same = own.where(ok).groupBy("label", "vec").agg(F.count(F.lit(1)).alias("mass"), F.min("key").alias("first"))
     nodes = cut(same.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
     bits, tables = shape(nodes.count(), threshold)
-    met = nodes.select("node", "dim", "vec").mapInArrow(_keys(bits, tables), "node long, t int, b long")
-    met = met.join(nodes.select("node", "label", "dim"), "node")
+    met = nodes.select("node", "label", "dim", "vec").mapInArrow(_keys(bits, tables), f"node long, label {nodes.schema['label'].dataType.simpleString()}, dim int, t int, b long")
     attach = lambda df: df.join(nodes.select("node", "mass", "vec"), "node")
     found = bucket_blocks(met, ["label", "dim", "t", "b"], "node", block, attach).mapInArrow(_compare(bits, tables, threshold), "node long, n long, root long")
     found = stored(found, "vector-links")
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     done = named.join(least, "root").join(counts, "node", "left").select(F.col("label").alias("label2"), F.col("vec").alias("vec2"), (F.coalesce("n", F.lit(0)) + F.col("mass") - 1).alias("n_links"), "component")
     linked = own.where(ok).join(done, (F.col("label") == F.col("label2")) & (F.col("vec") == F.col("vec2")), "left").select("key", "n_links", "component")

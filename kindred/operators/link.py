@@ -11,6 +11,7 @@ from pyspark.sql.types import MapType, VariantType
 
 from kindred.functions.distance import NAME_DISTANCES
 from kindred.functions.normalize import NormalizeOptions, normalize_name
+from kindred.functions.progress import progress
 from kindred.operators import calibrate
 from kindred.operators.matching import name_pairs, smaller, vector_pairs
 from kindred.sources.files import clean_directory
@@ -55,10 +56,12 @@ def link(
     if algorithm == "embedding" and not by_vector:
         raise ValueError("the embedding algorithm needs left_embedding and right_embedding, or an embedder")
     x, y = (_named(df, c, e if by_vector else None, normalize) for df, c, e in ((left, left_on, left_embedding), (right, right_on, right_embedding)))
+    progress("matching names")
     raw = _match(x, y, distance, q, metric, by_vector, max_dist, TARGET if target_matches is None else target_matches, seed)
     raw = raw.withColumnRenamed("d", "stringdist")
     network = None
     if algorithm == "network":
+        progress("matching both sides with the directory")
         network = _through(x, y, clean_directory(directory, normalize), distance, q, metric, by_vector and "embedding" in directory.columns, max_dist_network, TARGET_NETWORK if target_matches_network is None else target_matches_network, network_weight, seed)
     pairs = raw.withColumn("minDist", F.col("stringdist"))
     if network is not None:

@@ -49,6 +49,22 @@ def load_directory(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def find_directory(spark: SparkSession, kind: str, *folders: str) -> DataFrame:
+    """The directory named kind (say bipartite or markov: how its communities were found) in the first folder that has it.
+
+    Folders are in order of preference, such as one that comes with the data and then a cache.
+    """
+    from pyspark.errors import AnalysisException
+
+    for folder in folders:
+        try:
+            return load_directory(spark, f"{folder.rstrip('/')}/{kind}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+                raise
+    raise FileNotFoundError(f"no directory {kind!r} in {', '.join(folders) or 'no folder'}")
+
+
 def clean_directory(directory: DataFrame, options: NormalizeOptions = NormalizeOptions()) -> DataFrame:
     """One row per normalised alias, blank ones gone: of several the one of the smallest canonical id."""
     named = directory.withColumn("alias_name", normalize_name(F.col("alias_name"), options)).where(F.trim("alias_name") != "")

@@ -12,8 +12,9 @@ from kindred.functions import arrow_distance
 from kindred.functions.distance import NAME_DISTANCES, euclidean, name_distance, rmse_eps
 from kindred.functions.grams import qgrams, trigrams
 from kindred.functions.normalize import NormalizeOptions, direct_download_url, guess_name_column, normalize_name, numeric_columns, pasted_names, rename_embedding_columns, to_double, without_blank_names, zero_if_null
+from kindred.functions.progress import progress
 from kindred.operators.blocking import candidates
-from kindred.sources.files import clean_directory, load_directory, read_csv, write_csv
+from kindred.sources.files import clean_directory, find_directory, load_directory, read_csv, write_csv
 
 
 def names(spark, *values):
@@ -41,6 +42,10 @@ def test_helpers(spark):
     assert without_blank_names(names(spark, "a", "  ", None), "name").count() == 1
 
 
+def test_progress():
+    assert progress("x", quiet=True) is None and progress("done").endswith("] done")
+
+
 def brute_trigrams(s):
     return [s[i : i + 3] for i in range(min(len(s) - 2, 100))] if len(s) >= 3 else [s] if s else []
 
@@ -142,6 +147,9 @@ def test_files(spark, tmp_path):
     rows = [("Apple, LLC", "B"), ("apple llc", "A"), ("  ", "C"), (None, "D")]
     spark.createDataFrame(rows, "alias_name string, canonical_id string").write.parquet(str(tmp_path / "dir"))
     assert [tuple(r) for r in clean_directory(load_directory(spark, str(tmp_path / "dir"))).collect()] == [("apple llc", "A")]
+    assert find_directory(spark, "dir", str(tmp_path / "none"), str(tmp_path)).count() == 4
+    with pytest.raises(FileNotFoundError):
+        find_directory(spark, "other", str(tmp_path))
     with pytest.raises(ValueError):
         spark.range(1).write.parquet(str(tmp_path / "no"))
         load_directory(spark, str(tmp_path / "no"))

@@ -6,14 +6,12 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import langid, mixing, packing, secrets, simhash
 from kindred.llm.queries import tokenizer_path
-from kindred.llm.shared import shared_dir, table
+from kindred.llm.shared import scratch, table
 
 #: Documents go whose largest language has a smaller share than this. Languages mix in clean documents, so it is low.
 LEAST_SHARE = 0.2
@@ -68,7 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path = scratch(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

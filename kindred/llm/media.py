@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import batch, runs, shared_dir, small_batches, stored, texts
+from kindred.llm.shared import batch, runs, scratch, small_batches, stored, texts
 
 #: Payloads are padded with PAD to a positive multiple of UNIT bytes.
 UNIT, PAD = 576, b"\xff"
@@ -96,7 +95,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in texts(b.column(1)):
             data, n = payload(text)
-            rows.append((n, digest(data), [digest(c) for c in chunks(data)]))
+            file = wave(data)
+            rows.append((n, digest(file), [digest(c) for c in chunks(file)]))
         n, media, digests = zip(*rows, strict=True) if rows else ((), (), ())
         yield batch({"key": (b.column(0), None), "n_bytes": (list(n), pa.int64()), "media": (list(media), pa.binary()), "digests": (list(digests), pa.list_(pa.binary()))})
 
@@ -137,14 +137,14 @@ def _write(shared) -> Callable:
             out: list[tuple] = []
             size = 0
             for text in texts(b.column(0)):
-                data, _ = payload(text)
-                parts = chunks(data)
+                file = wave(payload(text)[0])
+                parts = chunks(file)
                 digests = [digest(c) for c in parts]
                 places = _places(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16))
                 many = ((bits[places >> 5] >> (places & 31).astype(np.uint32)) & 1).all(axis=1).tolist()
                 own = [not m for m in many]
                 blob = pack.compress(b"".join(c for c, o in zip(parts, own, strict=True) if o)) if any(own) else b""
-                out.append((0, digest(data), digests, [len(c) for c in parts], own, blob))
+                out.append((0, digest(file), digests, [len(c) for c in parts], own, blob))
                 size += len(blob) + 64
                 for c, d, m in zip(parts, digests, many, strict=True):
                     if m and d not in sent:  # once for a task
@@ -167,14 +167,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 class Store:
     """packs: PACK, one row per stored payload (repeated payloads: rows without chunks of their own). shared: digest, blob.
-    catalog: key, n_bytes, media (a digest of the payload)."""
+    catalog: key, n_bytes, media (a digest of the file)."""
 
     def __init__(self, catalog: DataFrame, packs: DataFrame, shared: DataFrame):
         self.catalog, self.packs, self.shared = catalog, packs, shared
 
 
 def write(docs: DataFrame, key: str, text: str) -> Store:
-    """Store the payload of every text. A null text is an empty one; null and repeated keys are rows of their own."""
+    """Store the payload of every text as a file of samples, in chunks. A null text is an empty one; null and repeated keys are rows of their own."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -182,7 +182,7 @@ def write(docs: DataFrame, key: str, text: str) -> Store:
     listed = stored(own.mapInArrow(_describe, f"key {kind}, n_bytes long, media binary, digests array<binary>"), "media-catalog")
     repeated = stored(listed.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "media-repeated")
     bits = spark.sparkContext.broadcast(_filter(repeated))
-    base = f"{shared_dir(spark)}/media-store-{uuid.uuid4().hex}"
+    base = scratch(spark, "media-store")
     own.select("text").mapInArrow(_write(bits), f"kind int, {PACK}").write.partitionBy("kind").parquet(f"{base}/written")
     written = spark.read.schema(f"{PACK}, kind int").parquet(f"{base}/written")
     sent = written.where("kind = 1").select(F.element_at("digests", 1).alias("digest"), "blob")
@@ -196,10 +196,9 @@ RESULT = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def _result(media: bytes, parts: list[bytes]) -> tuple:
-    data = b"".join(parts)
-    if digest(data) != media:
-        raise ValueError("a payload read back differs from the one that was stored")
-    file = wave(data)
+    file = b"".join(parts)
+    if digest(file) != media:
+        raise ValueError("a file read back differs from the one that was stored")
     samples = samples_of(file)
     return media, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(file), hashlib.sha256(file).hexdigest(), len(parts), features(samples)
 
@@ -257,7 +256,7 @@ def _read_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(store: Store) -> DataFrame:
-    """Every stored payload put together again, once: RESULT. Raises where bytes differ from their digests."""
+    """Every stored file put together again, once: RESULT. Raises where bytes differ from their digests."""
     small_batches(store.packs.sparkSession)
     whole = F.forall("own", lambda o: o)
     here = store.packs.where(whole).mapInArrow(_read_whole, RESULT)

@@ -43,11 +43,30 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to a new path of the shared folder and read again: columnar, so later readers prune."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; forget() deletes what is there."""
+    _scratch.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that operators of this process wrote for themselves. DataFrames that read them end with this."""
+    n = 0
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+_scratch: list[str] = []
+
+
 def texts(column: pa.Array) -> list[str]:
     """A string column as Python strings, null as the empty string."""
     return [x or "" for x in column.to_pylist()]

@@ -57,8 +57,8 @@ with d as (select doc_id, source, replace(coalesce(text, ''), chr(1), chr(2)) as
   bare as (from m3 where regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]')
     and not exists (select 1 from base where base.doc_id = m3.doc_id and base.start_ < m3.end_ and m3.start_ < base.end_)),
   every as (from base union all from bare),
-  own as (select val, count(distinct source) + max((source is null)::int) as owners, count(distinct (doc_id, source)) as repositories, max((kind < 3)::int) as keyed from every group by val),
-  told as (select *, case when owners >= {COPIED_OWNERS} then 'example' when keyed = 1 or (owners = 1 and repositories > 1) then 'live' else 'unknown' end as verdict from every join own using (val)),
+  own as (select val, count(distinct source) + max((source is null)::int) as owners, max((kind < 3)::int) as keyed from every group by val),
+  told as (select *, case when owners >= {COPIED_OWNERS} then 'example' when keyed = 1 then 'live' else 'unknown' end as verdict from every join own using (val)),
   kept as (from told where kind < 3 or verdict = 'live'),
   line as (select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
     coalesce(string_agg(name || ':' || start_ || ':' || end_, ',' order by start_, kind, end_) filter (kind < 3), '') as base_line,

@@ -2,8 +2,8 @@
 
 Patterns give candidate spans. The hashes of their values are counted over the whole corpus by distinct repositories and
 distinct owners: a value that many owners hold is a widely copied example; one that a single owner (or a few) holds looks
-live. Bare tokens without a keyword are candidates too; they count as secrets where they look live and the same value
-is assigned to a keyword somewhere, or where one owner uses it again in several repositories.
+live. Bare tokens without a keyword are candidates too; they count as secrets where the corpus shows that their value is
+one: some text has it behind a keyword, and few owners hold it.
 """
 
 from __future__ import annotations
@@ -73,15 +73,13 @@ def ownership(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame
 
     Sums are taken by (hash, owner, repository), then (hash, owner), then hash, so a value in a third of all rows is
     spread over its repositories. A null owner or repository counts as one of its own. verdict: example if
-    copied_owners or more hold it, else live; a bare value is live only if it is assigned to a keyword elsewhere or is
-    repeated in several repositories of one owner, else unknown.
+    copied_owners or more hold it, else live if a pattern found it anywhere; unknown for values that are bare everywhere.
     """
     each = found.select("repository_", "owner_", F.explode("spans").alias("s")).select(F.col("s.hash").alias("hash"), "owner_", "repository_", (F.col("s.kind") < 3).cast("int").alias("keyed"))
     one = each.groupBy("hash", "owner_", "repository_").agg(F.count(F.lit(1)).alias("n"), F.max("keyed").alias("keyed"))
     own = one.groupBy("hash", "owner_").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"), F.max("keyed").alias("keyed"))
     total = own.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_spans"), F.max("keyed").alias("keyed"))
-    live = (F.col("keyed") == 1) | ((F.col("n_owners") == 1) & (F.col("n_repositories") > 1))
-    return total.select("hash", "n_owners", "n_repositories", "n_spans", F.when(F.col("n_owners") >= copied_owners, "example").when(live, "live").otherwise("unknown").alias("verdict"))
+    return total.select("hash", "n_owners", "n_repositories", "n_spans", F.when(F.col("n_owners") >= copied_owners, "example").when(F.col("keyed") == 1, "live").otherwise("unknown").alias("verdict"))
 
 
 def scan(docs: DataFrame, key: str, text: str, repository: str, owner: str, copied_owners: int = COPIED_OWNERS) -> DataFrame:

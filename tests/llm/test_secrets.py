@@ -54,7 +54,7 @@ def corpus(spark):
     live, example, bare = "a1b2c3d4" * 5, "9f8e7d6c" * 5, "Zx9" * 10
     rows = [
         (1, f"token={live}", "o1"), (2, f"see {live.upper()} {live}", "o1"), (3, f"password: {example}", "o1"), (4, f"password: {example}", "o2"), (5, f"x {example} y", "o3"),
-        (6, f"again {bare}", "o4"), (7, f"and {bare} é", "o4"), (8, f"once {'Qw7' * 9}", "o5"), (9, "plain words only", "o1"), (10, None, "o1"), (11, f"api_key={bare[:9]}", "o5"),
+        (6, f"again {bare}", "o4"), (7, f"and {bare} é", "o4"), (8, f"once {'Qw7' * 9}", "o5"), (12, f"and {'Qw7' * 9}", "o5"), (13, f"secret={bare}", "o4"), (9, "plain words only", "o1"), (10, None, "o1"), (11, f"api_key={bare[:9]}", "o5"),
     ]
     return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long")), live, example, bare
 
@@ -65,7 +65,7 @@ def test_ownership(spark):
     verdicts = {k: [(s.kind, s.verdict, s.n_owners, s.n_repositories) for s in v] for k, v in got.items()}
     assert verdicts[1] == [("assign", "live", 1, 2), ("hex", "live", 1, 2)] and verdicts[2] == [("hex", "live", 1, 2)]
     assert all(v == "example" and n == 3 for k in (3, 4, 5) for _, v, n, _ in verdicts[k])
-    assert verdicts[6] == [("bare", "live", 1, 2)] and verdicts[8] == [] and verdicts[9] == verdicts[10] == []
+    assert verdicts[6] == [("bare", "live", 1, 3)] and verdicts[8] == verdicts[12] == [] and verdicts[9] == verdicts[10] == []
     lines = {r.doc_id: r.l for r in scan(docs, "doc_id", "text", "doc_id", "source").select("doc_id", line(F.col("spans")).alias("l")).collect()}
     assert lines[6] == f"bare:6:{6 + len(bare)}"
 
@@ -77,7 +77,7 @@ def test_redaction(spark):
     got = {r.doc_id: r.text for r in out.collect()}
     before = {r.doc_id: r.text for r in docs.collect()}
     assert got[1] == "[SECRET]" and got[2] == f"see {live.upper()} [SECRET]" and got[7] == "and [SECRET] é" and got[11] == "[SECRET]"
-    assert all(got[k] == before[k] for k in (3, 4, 5, 8, 9, 10))
+    assert all(got[k] == before[k] for k in (3, 4, 5, 8, 9, 10, 12))
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
     twice = spark.createDataFrame([(1, f"token={live}", "o"), (1, f"token={live}", "o"), (None, f"token={live}", None)], "doc_id long, text string, source string")
     assert [r.text for r in redacted(twice, "doc_id", "text", "doc_id", "source").collect()] == ["[SECRET]"] * 3

@@ -170,7 +170,7 @@ def exact_lookup(spark, sf_dir):
 
 
 def top_names(spark, sf_dir):
-    return top_matches(_fuzzy("jaccard")(spark, sf_dir), 3)
+    return top_matches(_fuzzy("jaccard")(spark, sf_dir), 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 def assess_names(spark, sf_dir):

@@ -11,16 +11,18 @@ the last remainder is cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
-from operator import add
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.bytefeatures import parts
 from kindred.llm.shared import batch, small_batches, texts
 
 WINDOW = 2048
@@ -41,6 +43,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # for lower-case letters nothing is left to normalise and nothing to split: blanks alone part words
+        light = json.loads(self.tokenizer.to_str())
+        light |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _byte_level(light)]}}
+        self.light = Tokenizer.from_str(json.dumps(light))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -59,13 +65,12 @@ class WordIds:
         known, words = self.known, [_words(x) for x in documents]
         new = list(set(chain.from_iterable(words)).difference(known))
         plain = list(map(_plain, new))
-        ends = [w[-1:] if len(x) < len(w) else "" for w, x in zip(new, plain, strict=True)]
-        unknown = set(plain).union(ends).difference(known)
-        letters = [x for x in unknown if x.isalpha()]
+        unknown = set(chain.from_iterable(plain)).difference(known)
+        letters = [x for x in unknown if x.isalpha() and x.islower() and is_normalized("NFC", x)]
         for i in range(0, len(letters), 8192):
             # letters alone are one run, whose last token ends a word: the ends part the ids of many words
             part = letters[i : i + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.light.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
             if len(at) == len(part) + 1:
                 self._learn(part, ids, at)
@@ -75,7 +80,7 @@ class WordIds:
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             self._learn(part, np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)))
         get = known.__getitem__
-        known.update(zip(new, map(add, map(get, plain), map(get, ends)), strict=True))
+        known.update((w, get(x) + get(end)) for w, (x, end) in zip(new, plain, strict=True))
         return [b"".join(map(get, x)) for x in words]
 
     def _learn(self, words: list[str], ids: np.ndarray, at: np.ndarray) -> None:
@@ -83,15 +88,29 @@ class WordIds:
         self.known.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
 
 
-def _plain(word: str) -> str:
-    """A word of the same ids but for an ending: "The," has the ids of "the" and of ",".
+def _plain(word: str) -> tuple[str, str]:
+    """A word and an ending that together have the word's ids: "The,!" has those of "the" and of ",!".
 
-    A comma or full stop behind a letter is a token of its own, and letters are lower-cased. What may be a special token,
-    or isn't ASCII, stays as it is.
+    Signs behind a letter or digit are a token run of their own, but for those that may be part of a contraction or of a
+    special token. Letters are lower-cased, one by one: sigma, which isn't, stays as it is, and so does a word whose length
+    would change.
     """
-    if word.endswith((",", ".")) and word[-2:-1].isalpha():
-        word = word[:-1]
-    return word.lower() if word.isascii() and "<" not in word else word
+    body = word.rstrip(_SIGNS)
+    if not body[-1:].isalnum() or body[-1] == "İ":  # in lower case it ends with a mark, which is one run with the signs
+        body = word
+    end = word[len(body) :]
+    if body.isascii():
+        return (body.lower() if "<" not in body else body), end
+    low = body.lower()
+    return (low if body.isalpha() and "Σ" not in body and len(low) == len(body) else body), end
+
+
+def _byte_level(tokenizer: dict) -> dict:
+    """The step of a tokenizer that turns bytes into letters."""
+    return next(x for x in tokenizer["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")
+
+
+_SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 def _words(text: str) -> list[str]:
@@ -244,8 +263,8 @@ def _packer(path: str, end_id: int, window: int, with_ids: bool) -> Callable:
         for b in batches:
             kind = b.schema.field(0).type
             keys, docs = b.column(0).to_pylist(), texts(b.column(1))
-            for first in range(0, len(docs), 128):
-                for key, ids in zip(keys[first : first + 128], words.encode(docs[first : first + 128]), strict=True):
+            for first, last in parts(docs):
+                for key, ids in zip(keys[first:last], words.encode(docs[first:last]), strict=True):
                     packer.add((key, len(ids) // 4 + 1), ids + end)
                 yield from rows(packer.take())
         if kind is not None:

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from kindred.llm.packing import SumOfSquares, pack
+from kindred.llm.packing import SumOfSquares, WordIds, pack
 from kindred.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, ids string, offset int"
@@ -17,6 +18,16 @@ def expected(text):
     return ids
 
 
+def test_ids_of_odd_words():
+    """Words of signs, cases, marks and scripts, alone and in texts, against the tokenizer on whole texts."""
+    bits = ["a", "The", "É", "é", "e\u0301", "Σ", "ς", "ΑΣ", "İ", "ß", "ﬁ", "ǅ", "漢字", "ª", "²", "½", "7", "'s", "'", "'LL", "<", ">", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "$$$", ",", ".!", "_", "-", "\\", "…", "’t", "\u0301", "\u200b", "😀", "\xa0", "\x85", "\x1c", "K", "ſ"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice([*bits, " ", " ", "\n"]) for _ in range(rng.randint(1, 12))) for _ in range(6000)] + bits + [a + b for a in bits for b in bits]
+    words, plain = WordIds(PATH), Tokenizer.from_file(PATH)
+    wrong = [t for t, got in zip(texts, words.encode(texts), strict=True) if got != np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert wrong == []
+
+
 def check(rows, texts):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:

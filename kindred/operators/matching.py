@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.distance import BY_LENGTH, name_distance
-from kindred.operators.blocking import candidates
+from kindred.operators.blocking import candidates, similar_candidates
 
+#: Jaccard similarity from which pairs meet by prefixes of their q-grams, not by all trigrams. Both ways give the same.
+LEAST_SIMILAR = 0.5
 #: Vectors of a block, in which all pairs are computed at once.
 BLOCK = 2048
 
@@ -27,7 +29,9 @@ def name_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: st
         pairs = x.distinct().select(F.col("name").alias("left_name")).crossJoin(y.distinct().select(F.col("name").alias("right_name")))
     elif blocking == "trigram":
         probe = probe or smaller(left, right)
-        pairs = candidates(x, y) if probe == "left" else candidates(y, x)
+        sides = (x, y) if probe == "left" else (y, x)
+        strict = distance == "jaccard" and max_dist is not None and max_dist <= 1 - LEAST_SIMILAR
+        pairs = similar_candidates(*sides, q, 1 - max_dist) if strict else candidates(*sides)
         pairs = pairs.select(F.col("probe" if probe == "left" else "other").alias("left_name"), F.col("other" if probe == "left" else "probe").alias("right_name"))
     else:
         raise ValueError(f"blocking is trigram or none, not {blocking!r}")

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -160,6 +161,17 @@ def test_blocked_pairs_are_a_part_of_all(spark):
     assert blocked < {tuple(r) for r in name_pairs(x, y, "name", "name", blocking="none").collect()}
 
 
+@pytest.mark.parametrize(("q", "t"), [(2, 0.0), (2, 0.25), (2, 0.5), (3, 0.4), (1, 0.3)])
+def test_prefixes_find_what_trigrams_find(spark, q, t):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    other = [b[:k] + rng.choice("abz") + b[k + 1 :] for b in base for k in (0, len(b) // 2)] + ["", "a", "ab", None]
+    x, y = x_of(spark, *base, "ab", "a", "", column="name"), x_of(spark, *other, column="name")
+    got = {tuple(r) for r in name_pairs(x, y, "name", "name", "jaccard", q, probe="left", max_dist=t).collect()}
+    all_ = name_pairs(x, y, "name", "name", "jaccard", q, probe="left")
+    assert got == {tuple(r) for r in all_.where(f"stringdist <= {t}").collect()} and got
+
+
 def test_stream(spark, tmp_path):
     x, y = x_of(spark, "apple", "zzz", column="n"), x_of(spark, "Apple", column="m")
     x.write.parquet(str(tmp_path / "in"))

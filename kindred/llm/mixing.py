@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import stored
+from kindred.llm.shared import free_name, stored
 
 #: Words of a block.
 BLOCK = 1024
@@ -146,15 +146,14 @@ def mixed_documents(docs: DataFrame, key: str, text: str, source: str, length: s
     """
     found = mix(docs, key, text, source, extra={"digest": F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))}, **options)
     copies = found.pieces.groupBy("key", "source", "digest", "size", "start", "pass_no").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
-    same = copies.groupBy("key", "source", "digest").agg(F.sum(F.when(F.col("words") == F.col("size"), 1).otherwise(0)).alias("wholes"), F.collect_list(F.when(F.col("words") < F.col("size"), F.col("words"))).alias("parts"))
-    same = same.select(F.struct("key", "source", "digest").alias("k2"), F.col("wholes").cast("int").alias("wholes"), "parts")
+    k1, k2, n = (free_name(docs, x) for x in ("k1", "k2", "words"))
+    copies = copies.select(F.struct("key", "source", "digest").alias(k2), F.when(F.col("words") < F.col("size"), F.col("words")).otherwise(-1).alias(n))
     body = F.col(f"`{text}`").cast("string")
-    named = docs.withColumn("k1", F.struct(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.md5(F.coalesce(body, F.lit("")).cast("binary")).alias("digest"))).dropDuplicates(["k1"])
-    both = named.join(same, F.col("k1").eqNullSafe(F.col("k2")))
-    each = both.withColumn("words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("wholes")), "parts")))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), 0), F.lit(1), F.col("words").cast("int")), " ")
-    new = {text: F.when(F.col("words") < 0, body).otherwise(cut_text)}
+    named = docs.withColumn(k1, F.struct(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.md5(F.coalesce(body, F.lit("")).cast("binary")).alias("digest"))).dropDuplicates([k1])
+    each = named.join(copies, F.col(k1).eqNullSafe(F.col(k2)))
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), 0), F.lit(1), F.col(n).cast("int")), " ")
+    new = {text: F.when(F.col(n) < 0, body).otherwise(cut_text)}
     each = each.withColumns(new)
     if length:
-        each = each.withColumn(length, F.when(F.col("words") < 0, F.col(f"`{length}`")).otherwise(F.length(F.col(f"`{text}`"))).cast(docs.schema[length].dataType))
+        each = each.withColumn(length, F.when(F.col(n) < 0, F.col(f"`{length}`")).otherwise(F.length(F.col(f"`{text}`"))).cast(docs.schema[length].dataType))
     return each.select(*[f"`{c}`" for c in docs.columns])

@@ -112,15 +112,15 @@ def redacted(docs: DataFrame, key: str, text: str, repository: str, owner: str,
     Overlapping spans are replaced as one. length, a column of character counts, follows. Same rows, same columns.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    has, mark = free_name(docs, "has_candidates"), free_name(docs, "digest")
+    has, mark, k1, k2, found = (free_name(docs, x) for x in ("has_candidates", "digest", "k1", "k2", "found"))
     some = F.coalesce(body.rlike(ASSIGN) | body.rlike(ACCESS) | body.rlike(HEX) | body.rlike(BARE), F.lit(False))
     marked = docs.withColumn(has, some)
     suspects = docs.where(some).withColumn(mark, F.md5(body.cast("binary")))
     base = stored(find_candidates(suspects.withColumn("key_", F.col(f"`{key}`")), repository, owner, text, ["key_", mark]), "secret-candidates")
     verdicts = ownership(base, copied_owners)
-    same = base.where(F.size("spans") > 0).groupBy("key_", mark).agg(F.max("spans").alias("spans")).select(F.struct("key_", mark).alias("k2"), F.explode("spans").alias("s"))
-    live = same.select("k2", "s", F.col("s.hash").alias("hash")).join(verdicts.where("verdict = 'live'"), "hash")
-    live = live.groupBy("k2").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.end"))).alias("spans"))
+    same = base.where(F.size("spans") > 0).groupBy("key_", mark).agg(F.max("spans").alias("spans")).select(F.struct("key_", mark).alias(k2), F.explode("spans").alias("s"))
+    live = same.select(k2, "s", F.col("s.hash").alias("hash")).join(verdicts.where("verdict = 'live'"), "hash")
+    live = live.groupBy(k2).agg(F.sort_array(F.collect_list(F.struct("s.start", "s.end"))).alias(found))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def merge(acc: Column, s: Column) -> Column:
@@ -128,11 +128,11 @@ def redacted(docs: DataFrame, key: str, text: str, repository: str, owner: str,
         longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
         return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), longer).otherwise(F.concat(acc, F.array(s)))
 
-    merged = F.aggregate("spans_", empty, merge)
+    merged = F.aggregate(found, empty, merge)
     cut = F.aggregate(F.reverse(merged), F.col(f"`{text}`").cast("string"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(stand_in), F.substring(t, s["end"] + 1, F.length(t))))
     rest = marked.where(~F.col(has)).select(*[f"`{c}`" for c in docs.columns])
-    hit = suspects.withColumn("k1_", F.struct(F.col(f"`{key}`").alias("key_"), F.col(mark))).join(live.withColumnRenamed("spans", "spans_"), F.col("k1_").eqNullSafe(F.col("k2")), "left")
-    hit = hit.withColumn(text, F.when(F.col("spans_").isNotNull(), cut).otherwise(F.col(f"`{text}`")))
+    hit = suspects.withColumn(k1, F.struct(F.col(f"`{key}`").alias("key_"), F.col(mark))).join(live, F.col(k1).eqNullSafe(F.col(k2)), "left")
+    hit = hit.withColumn(text, F.when(F.col(found).isNotNull(), cut).otherwise(F.col(f"`{text}`")))
     if length:
-        hit = hit.withColumn(length, F.when(F.col("spans_").isNotNull(), F.length(F.col(f"`{text}`"))).otherwise(F.col(f"`{length}`")).cast(docs.schema[length].dataType))
+        hit = hit.withColumn(length, F.when(F.col(found).isNotNull(), F.length(F.col(f"`{text}`"))).otherwise(F.col(f"`{length}`")).cast(docs.schema[length].dataType))
     return rest.unionByName(hit.select(*[f"`{c}`" for c in docs.columns]))

@@ -188,14 +188,17 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str | None]) -
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, lang: str | None = None, max_rows: int = MAX_ROWS) -> Model:
     """Train on at most max_rows labelled documents, drawn by a hash of the key.
 
-    labels (key, label): rows with a null in either are left out, and so are those without a document. lang (a column of
+    labels (key, label): rows with a null in either are left out, and so are those without a document. Of several documents
+    with one key a hash of the text picks one, so that no key brings more rows than it has labels. lang (a column of
     docs) serves the thresholds only. Without labels of both kinds, every text gets the share of label 1.
     """
     small_batches(docs.sparkSession)
     drawn = labels.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull()).select(F.col(f"`{key}`").alias("key_"), (F.col(f"`{label}`") > 0).cast("int").alias("label_"))
     drawn = drawn.orderBy(F.xxhash64("key_", F.lit(11)), "key_", "label_").limit(max_rows)
     own = docs.select(F.col(f"`{key}`").alias("key_"), F.col(f"`{text}`").cast("string").alias("text_"), (F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string")).alias("lang_"))
-    rows = own.join(F.broadcast(drawn), "key_").select("key_", "label_", "lang_", "text_")  # at most max_rows narrow rows
+    held = own.join(F.broadcast(drawn), "key_")  # at most max_rows narrow rows
+    one = F.min_by(F.struct("lang_", "text_"), F.xxhash64("text_", "lang_")).alias("doc")
+    rows = held.groupBy("key_", "label_").agg(one).select("key_", "label_", "doc.lang_", "doc.text_")
     kind = rows.schema["key_"].dataType.simpleString()
     got = rows.mapInArrow(_hashes, f"key {kind}, label int, lang string, hashes binary").toArrow()
     keys, y, langs, raw = (got.column(c).to_pylist() for c in ("key", "label", "lang", "hashes"))

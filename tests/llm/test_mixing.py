@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.mixing import RANGE, STEP, mix, mixed_documents, targets
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, start string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, words string"
 
 
 def brute_targets(sizes, weights=(5, 2, 1)):

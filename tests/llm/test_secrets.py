@@ -81,4 +81,7 @@ def test_redaction(spark):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
     twice = spark.createDataFrame([(1, f"token={live}", "o"), (1, f"token={live}", "o"), (None, f"token={live}", None)], "doc_id long, text string, source string")
     assert [r.text for r in redacted(twice, "doc_id", "text", "doc_id", "source").collect()] == ["[SECRET]"] * 3
+    clash = twice.withColumns({c: F.lit(c) for c in ("k1", "k2", "found", "digest", "spans", "key", "hash")})
+    rows = redacted(clash, "doc_id", "text", "doc_id", "source").collect()
+    assert [(r.text, r.k1, r.found, r.spans, r.hash) for r in rows] == [("[SECRET]", "k1", "found", "spans", "hash")] * 3
     assert redacted(twice.limit(0), "doc_id", "text", "doc_id", "source").count() == 0

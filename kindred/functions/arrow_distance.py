@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions.shipping import ship
+
 #: Cells of the tables filled at once.
 CELLS = 4_000_000
 
 
 def udf(kernel: Callable):
+    ship(SparkSession.getActiveSession())
+
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(batched(kernel, a.tolist(), b.tolist()), dtype="float64")

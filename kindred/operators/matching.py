@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.distance import BY_LENGTH, name_distance
+from kindred.functions.shipping import ship
 from kindred.operators.blocking import candidates, similar_candidates
 
 #: Jaccard similarity from which pairs meet by prefixes of their q-grams, not by all trigrams. Both ways give the same.
@@ -74,6 +75,7 @@ def vector_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     metric: euclidean, rmse_eps, or a function of a vector and a matrix of vectors that returns their distances. Distances
     that the matrix product brings out within rounding of the threshold are computed again as a sum of squares.
     """
+    ship(left.sparkSession)
     x = left.select(F.col(f"`{left_id}`").alias("lid"), F.col(f"`{left_vector}`").cast("array<double>").alias("lv")).where("lid is not null and lv is not null")
     y = right.select(F.col(f"`{right_id}`").alias("rid"), F.col(f"`{right_vector}`").cast("array<double>").alias("rv")).where("rid is not null and rv is not null")
     m, n = (max(1, -(-df.count() // block)) for df in (x, y))
@@ -125,6 +127,8 @@ def embed(rows: DataFrame, name: str, embedder: Callable[[pd.Series], pd.Series]
     """
     from kindred.functions.normalize import normalize_for_embedding
 
+    ship(rows.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for first in range(0, len(frame), batch):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.normalize import NormalizeOptions, normalize_name
+from kindred.functions.shipping import ship
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -21,6 +22,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     if not re.search(r"\.zip($|\?)", path):
         return reader.csv(path)
+    ship(spark)
     lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzipped, "line string")
     return reader.csv(lines.rdd.map(lambda r: r.line))  # of text lines, only an RDD or a path will do
 

@@ -21,8 +21,9 @@ from kindred.llm.shared import batch, small_batches, texts
 BUCKETS = 1 << 16
 #: Words drawn together, rounds of expectation-maximisation, languages of a text at most considered together.
 GROUP, ROUNDS, MOST = 4, 8, 4
-#: Weight of a language's own counts against all languages' counts together, in trigrams.
-SMOOTH = 0.5
+#: Trigrams that all languages together lend to each, and the share of any trigram whatever in each: a language of few
+#: training texts must not lose its other texts to text like none.
+SMOOTH, UNSEEN = 300.0, 0.2
 UNKNOWN = "und"
 
 
@@ -48,10 +49,10 @@ def fit(rows: DataFrame, text: str, lang: str) -> Model:
     for name, b, n in zip(found["lang"], found["b"], found["n"], strict=True):
         table[np.array(b, np.int64), names.index(name)] = n
     everything = table.sum(axis=1, keepdims=True) + 1e-3
-    prior = everything / everything.sum()
-    share = (table + SMOOTH * prior * BUCKETS * 0.01 + 1e-4) if names else table
-    any_text = np.full((BUCKETS, 1), 1 / BUCKETS)
-    return Model(names, np.log(np.hstack([share / share.sum(axis=0, keepdims=True), any_text])).astype(np.float32))
+    share = table + SMOOTH * everything / everything.sum()
+    uniform = np.full((BUCKETS, 1), 1 / BUCKETS)
+    known = (1 - UNSEEN) * share / share.sum(axis=0, keepdims=True) + UNSEEN * uniform if names else table
+    return Model(names, np.log(np.hstack([known, uniform])).astype(np.float32))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

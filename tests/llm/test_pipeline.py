@@ -95,3 +95,17 @@ def test_empty_table(spark, stages, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
     assert docs.count() == 0
+
+
+def test_nulls_and_repeats(spark, stages, tmp_path):
+    rows = [(None, "the words of a text that has no key", "en", "src0", 10), (1, None, "en", "src0", None), (2, "the same text twice and then no more", None, None, None), (2, "the same text twice and then no more", None, None, None), (3, "", "en", None, 0), (4, "the long text " * 20000, "en", "src1", 1), (5, "token = abcdef0123456789abcdef the end", "en", "src1", 38)]
+    docs = spark.createDataFrame(rows, stages[0].schema)
+    kept = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        kept.append(docs)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept[0].collect()) == [-1, 2, 2, 4, 5]
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept[1].collect()) == [-1, 2, 4, 5]
+    assert {r.doc_id: r.text for r in kept[2].collect()}[5] == "[SECRET] the end"
+    assert {r.doc_id for r in kept[4].collect()} <= {None, 2, 4, 5} and kept[4].count() > 0

@@ -30,6 +30,8 @@ WINDOW = 2048
 MAX_OPEN = 8192
 #: Words a worker remembers the ids of; beyond, it forgets all but the short ones, which come most often.
 MAX_WORDS, SHORT = 1_400_000, 8
+#: Characters encoded together.
+CHARS_AT_ONCE = 1 << 19
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -263,7 +265,7 @@ def _packer(path: str, end_id: int, window: int, with_ids: bool) -> Callable:
         for b in batches:
             kind = b.schema.field(0).type
             keys, docs = b.column(0).to_pylist(), texts(b.column(1))
-            for first, last in parts(docs):
+            for first, last in parts(docs, CHARS_AT_ONCE):
                 for key, ids in zip(keys[first:last], words.encode(docs[first:last]), strict=True):
                     packer.add((key, len(ids) // 4 + 1), ids + end)
                 yield from rows(packer.take())

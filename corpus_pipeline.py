@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import langid, mixing, packing, secrets, simhash
+from kindred.llm import langid, mixing, nearcopies, packing, secrets
 from kindred.llm.queries import tokenizer_path
 from kindred.llm.shared import scratch, table
 
@@ -32,8 +32,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: that of the smallest doc_id."""
-    return simhash.keep_one(docs, "doc_id", "text")
+    """One document of each group of near copies: that of the smallest doc_id.
+
+    Near copies share 0.8 or more of their 5-word shingles. Fingerprints of 64 bits can't tell these (they differ in
+    about 10 bits), so the shingles themselves are compared; op9 keeps its own digest.
+    """
+    return nearcopies.keep_one(docs, "doc_id", "text")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

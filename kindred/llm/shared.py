@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kindred.functions.shipping import ship
 
@@ -87,6 +88,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def node_of(text: Column) -> Column:
+    """128 bits that texts of the same words in the same order share. A null text counts as an empty one."""
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.unhex(F.md5(F.trim(F.regexp_replace(plain, r"[ \t\n\x0B\f\r]+", " "))))
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by keys as tables of whole groups, of about `least` rows or more, and where each group begins (one more: the end)."""
     held: list[pa.RecordBatch] = []

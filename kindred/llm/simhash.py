@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.shared import batch, cut, free_name, local_stars, runs, small_batches, stored, texts
+from kindred.llm.shared import batch, cut, free_name, local_stars, node_of, runs, small_batches, stored, texts
 
 RADIUS = 3
 #: Fingerprints compared at once. A larger bucket is dealt out as pairs of blocks of about this size.
@@ -151,13 +151,14 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 3, radius
 
 
 def keep_one(docs: DataFrame, key: str, text: str, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs without all but one document of each group of near-duplicates: that with the smallest key stays.
+    """docs without all but one row of each group of near-duplicates: that with the smallest key stays.
 
-    Rows that repeat a key count as one document. Rows with a null key have no identity; they stay as they are.
+    Rows of one key and the same words count as one document; a key that holds different texts keeps one of each group.
+    Rows with a null key have no identity; they stay as they are.
     """
-    found = near_duplicates(docs.where(F.col(f"`{key}`").isNotNull()), key, text, width, radius)
-    chosen = free_name(docs, "chosen")
-    keep = found.where(F.col(f"`{key}`") == F.col("component")).select(F.col(f"`{key}`").alias(chosen)).distinct()
-    named = docs.join(keep, docs[f"`{key}`"] == keep[chosen], "left")
-    once = named.where(F.col(chosen).isNotNull()).dropDuplicates([key]).drop(chosen)
+    row, node = free_name(docs, "row"), free_name(docs, "node")
+    keyed = docs.where(F.col(f"`{key}`").isNotNull()).withColumn(node, node_of(F.col(f"`{text}`")))
+    found = near_duplicates(keyed.withColumn(row, F.struct(F.col(f"`{key}`").alias("key"), F.col(node).alias("node"))), row, text, width, radius)
+    keep = found.where(F.col(row) == F.col("component")).select(F.col("component.key").alias("chosen_key"), F.col("component.node").alias("chosen_node")).distinct()
+    once = keyed.join(keep, (keyed[f"`{key}`"] == keep["chosen_key"]) & (keyed[node] == keep["chosen_node"]), "left_semi").dropDuplicates([key, node]).drop(node)
     return once.unionByName(docs.where(F.col(f"`{key}`").isNull()))

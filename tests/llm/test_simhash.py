@@ -89,3 +89,11 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 1, 2, 9]
     assert near_duplicates(docs.limit(0), "doc_id", "text").count() == 0 and keep_one(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_repeated_key_keeps_its_different_texts(spark):
+    """Of key 1 both texts stay, though they lie in different components; copies of each go, under the key and under others."""
+    text, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, text), (1, other), (1, text.upper()), (2, other), (0, "thirteen " * 9), (1, "thirteen " * 9), (3, text)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert sorted((r.doc_id, r.text.lower().split()[0]) for r in kept.collect()) == [(0, "thirteen"), (1, "one"), (1, "seven")]

@@ -13,7 +13,7 @@ from kindred.llm import langid, mixing, nearcopies, packing, secrets
 from kindred.llm.queries import tokenizer_path
 from kindred.llm.shared import scratch, table
 
-#: Documents go whose largest language has a smaller share than this. Languages mix in clean documents, so it is low.
+#: Documents go whose languages together have a smaller share than this. Languages may mix, so no single one decides.
 LEAST_SHARE = 0.2
 
 
@@ -26,7 +26,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model.languages:
         return docs
     found = langid.identify(docs, [F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc")], "text", model)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    known = F.aggregate("shares", F.lit(0.0), lambda total, share: total + share)
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (known >= LEAST_SHARE))
     kind = docs.schema["lang"].dataType
     return kept.select(*[F.col("lang_pred").cast(kind).alias("lang") if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 

@@ -19,8 +19,8 @@ from kindred.llm.bytefeatures import letter_trigrams, parts
 from kindred.llm.shared import batch, small_batches, texts
 
 BUCKETS = 1 << 16
-#: Words drawn together, rounds of expectation-maximisation, languages of a text at most considered together.
-GROUP, ROUNDS, MOST = 4, 8, 4
+#: Words drawn together, rounds of expectation-maximisation.
+GROUP, ROUNDS = 4, 8
 #: Trigrams that all languages together lend to each, and the share of any trigram whatever in each: a language of few
 #: training texts must not lose its other texts to text like none.
 SMOOTH, UNSEEN = 300.0, 0.2
@@ -99,31 +99,37 @@ def _mixture(bucket: np.ndarray, word: np.ndarray, first: np.ndarray, logp: np.n
     has = np.flatnonzero(groups)
     start = at[:-1][has]
 
-    def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(allowed: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihood of some texts that have words (sorted); allowed has a row for each."""
         pi = allowed / allowed.sum(axis=1, keepdims=True)
+        size = groups[docs]
+        row = np.repeat(np.arange(len(docs)), size)
+        start = np.cumsum(size) - size
+        at_group = np.repeat(at[docs] - start, size) + np.arange(len(row))
+        own = like[at_group]
         for _ in range(ROUNDS):
-            r = like * pi[doc]
+            r = own * pi[row]
             r /= r.sum(axis=1, keepdims=True)
-            pi[has] = np.add.reduceat(r, start, axis=0) / groups[has, None]
-        mixed = np.log(np.maximum((like * pi[doc]).sum(axis=1), 1e-300)) + top[:, 0]
-        total = np.zeros(n)
-        total[has] = np.add.reduceat(mixed, start)
-        return pi, total
-
-    full, _ = em(np.ones((n, k)))
-    single = np.zeros((n, k))
-    single[has] = np.add.reduceat(ll, start, axis=0)
-    order = np.argsort(-full, axis=1)
+            pi = np.add.reduceat(r, start, axis=0) / size[:, None]
+        mixed = np.log(np.maximum((own * pi[row]).sum(axis=1), 1e-300)) + top[at_group, 0]
+        return pi, np.add.reduceat(mixed, start)
+
+    single = np.add.reduceat(ll, start, axis=0)
+    order = np.argsort(-em(np.ones((len(has), k)), has)[0], axis=1)
     best, score = np.eye(k)[single.argmax(axis=1)], single.max(axis=1)
-    penalty = 0.5 * np.log(np.maximum(groups, 1) + 1) + 1
-    for size in range(2, min(k, MOST) + 1):
-        allowed = np.zeros((n, k))
-        np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-        pi, total = em(allowed)
-        total = total - penalty * (size - 1)
-        better = total > score
-        best[better], score[better] = pi[better], total[better]
-    out[has] = best[has]
+    penalty = 0.5 * np.log(groups[has] + 1) + 1
+    most = np.add.reduceat(top[:, 0], start)  # no mixture is likelier than each group's best language
+    for size in range(2, k + 1):
+        left = np.flatnonzero(most - penalty * (size - 1) > score - 1e-6)
+        if not len(left):
+            break
+        allowed = np.zeros((len(left), k))
+        np.put_along_axis(allowed, order[left, :size], 1.0, axis=1)
+        pi, total = em(allowed, has[left])
+        total = total - penalty[left] * (size - 1)
+        better = total > score[left]
+        best[left[better]], score[left[better]] = pi[better], total[better]
+    out[has] = best
     return out
 
 

@@ -42,3 +42,17 @@ def test_counts_cover_all_rows_however_they_lie(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one, two = fit(docs, "text", "lang"), fit(docs.repartition(9), "text", "lang")
     assert one.languages == two.languages and np.array_equal(one.logp, two.logp)
+
+
+def test_a_text_of_many_languages(spark):
+    """Seven languages of letters of their own, all in one text, and fewer in others."""
+    own = [[f"{a}{b}{c}" for a in x for b in x for c in x] for x in ("abc", "def", "ghi", "jkl", "mno", "pqr", "stu")]
+    rows = [(i, " ".join(words * 20), f"l{i}") for i, words in enumerate(own)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang")
+    part = [" ".join(words * 4) for words in own]
+    share, _ = proportions([" ".join(part), " ".join(part[:5]), part[3]], model)
+    assert ((0.1 < share[0]) & (share[0] < 0.2)).all()
+    assert ((0.15 < share[1, :5]) & (share[1, :5] < 0.25)).all() and share[1, 5:].sum() < 0.01 and share[2, 3] > 0.95
+    mixed = spark.createDataFrame([(0, " ".join(part))], "doc_id long, text string")
+    found = identify(mixed, ["doc_id"], "text", model).collect()[0]
+    assert sorted(found.languages) == [f"l{i}" for i in range(7)]

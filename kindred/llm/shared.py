@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    On one machine (a local master) a temporary folder serves where it is unset; a cluster has to name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="kindred-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -76,6 +82,16 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def key_names(names: list[str], results: tuple[str, ...]) -> list[str]:
+    """What key columns are called beside results: their names, with a leading underscore for each clash."""
+    out: list[str] = []
+    for name in names:
+        while name.lower() in {r.lower() for r in results} | {x.lower() for x in out}:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def batch(columns: dict[str, tuple[list | np.ndarray | pa.Array, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns.values()], names=list(columns))
 

@@ -25,11 +25,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.fit(docs, "text", "lang")
     if not model.languages:
         return docs
-    found = langid.identify(docs, [F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc")], "text", model)
+    rest = [c for c in docs.columns if c != "text"]
+    found = langid.identify(docs, [F.struct(*[f"`{c}`" for c in rest]).alias("doc")], "text", model, keep_text=True)
     known = F.aggregate("shares", F.lit(0.0), lambda total, share: total + share)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (known >= LEAST_SHARE))
     kind = docs.schema["lang"].dataType
-    return kept.select(*[F.col("lang_pred").cast(kind).alias("lang") if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType), "lang": F.col("lang_pred").cast(kind)}
+    return kept.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

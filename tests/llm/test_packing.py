@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from kindred.llm import packing
 from kindred.llm.packing import SumOfSquares, WordIds, pack
 from kindred.llm.queries import tokenizer_path
 
@@ -98,3 +100,37 @@ def test_a_bound_on_open_windows_keeps_every_token():
         assert packer.open <= 8
     got += sum(len(p[2]) for w in packer.finish() for p in w)
     assert got == 4 * sum(700 + 7 * k for k in range(300))
+
+
+def test_beyond_the_bound_the_rule_goes_on():
+    """With one window too many only the fullest is closed; the counts of all others stay what they were."""
+    rng = np.random.default_rng(5)
+    packer = SumOfSquares(64, max_open=12)
+    by = defaultdict(int)
+    for k in range(3000):
+        packer.add((k, 1), b"\0" * 4 * int(rng.integers(20, 64)))
+        for w in packer.take():
+            assert sum(len(p[2]) for p in w) == 4 * 64
+            by[w.by] += 1
+        assert packer.open <= 12 and packer.open == sum(map(len, packer.at)) == packer.count[1:64].sum()
+        assert all(sum(len(p[2]) for p in w) == 4 * h for h, ws in enumerate(packer.at) for w in ws)
+        if k > 100:
+            assert packer.open >= 5  # joining all would leave one
+    assert by["rule"] > 500 and by["cut"] > 500
+
+
+def test_the_rule_closes_most_windows(spark):
+    """On the given documents: windows by what closed them."""
+    rows = pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(1), "doc_id", "text", PATH, with_ids=False)
+    by = {r.closed_by: r.n for r in rows.groupBy("closed_by").agg(F.countDistinct("sequence_id").alias("n")).collect()}
+    assert set(by) <= {"rule", "alone", "cut"} and by["rule"] > by["cut"]
+
+
+def test_a_worker_makes_room_for_new_words(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_WORDS", 300)
+    rng, words, plain = random.Random(3), WordIds(PATH), Tokenizer.from_file(PATH)
+    usual = [f"usual{i}," for i in range(40)]
+    for _ in range(60):
+        text = " ".join(usual + ["".join(rng.choice("abcdéXYZ'.") for _ in range(7)) for _ in range(60)])
+        assert words.encode([text, "", text[:50]]) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (text, "", text[:50])]
+        assert len(words.at) < 300 + 400

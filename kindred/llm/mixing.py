@@ -27,7 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 @dataclass
 class Mix:
     """targets: source, source_size, weight, target, goal (whole words). schedule: slot, source, k (its k-th block), first and
-    last word of the source's stream (end exclusive). documents: key, source, size, source_size, target, taken.
+    last word of the source's stream (end exclusive). documents: key, source, size, source_size, target, taken, first_slot (null
+    if none takes it), n_slots.
     pieces: slot, pass_no, key, source, size, start, from_word, to_word (of the document, end exclusive)."""
 
     targets: DataFrame
@@ -98,16 +99,20 @@ def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, .
     """Mix docs so that the sources' words near their targets, `share` times all words in total.
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, the last. Rows that
-    repeat a key are rows of their own. Reruns agree: the order within a source is that of the key's MD5, and equal
-    keys can change places only where their sizes are equal too. No document is taken more than cap times. An
-    empty table gives empty results. Other columns are ignored but for those in `extra`, which pieces carry along.
+    repeat a key are rows of their own. Reruns agree: the order within a source is that of an MD5 of key and text, and rows
+    of equal key, text and extras are told apart by nothing. No document is taken more than cap times. A very long text is
+    but a number of words here. An empty table gives empty results. Other columns are ignored but for those in `extra`, which
+    pieces carry along.
     """
     extra = extra or {}
-    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`").cast("string")).alias("size"), *[c.alias(n) for n, c in extra.items()])
-    h = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))
-    own = stored(own.withColumn("h", h).withColumn("b1", F.substring("h", 1, 2)).withColumn("b2", F.substring("h", 3, 2)), "mix-sizes")
+    body = F.col(f"`{text}`").cast("string")
+    h = F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.md5(F.coalesce(body, F.lit("")).cast("binary"))).cast("binary"))
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), n_words(body).alias("size"), h.alias("h"), *[c.alias(n) for n, c in extra.items()])
+    # rows that nothing tells apart are one row with a number, or else they would all be ranked by one task
+    own = own.groupBy(*own.columns).agg(F.count(F.lit(1)).alias("copies"))
+    own = stored(own.withColumn("b1", F.substring("h", 1, 2)).withColumn("b2", F.substring("h", 3, 2)).withColumn("all", F.col("size") * F.col("copies")), "mix-sizes")
     # a prefix sum over each source in three levels: 256 parts, 256 parts of each, rows
-    fine = own.groupBy("source", "b1", "b2").agg(F.sum("size").alias("words"))
+    fine = own.groupBy("source", "b1", "b2").agg(F.sum("all").alias("words"))
     coarse = fine.groupBy("source", "b1").agg(F.sum("words").alias("words1"))
     goals = stored(targets(coarse.groupBy("source").agg(F.sum("words1").alias("source_size")), weights, share, cap), "mix-targets")
     before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -116,10 +121,11 @@ def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, .
     fine = fine.join(coarse, F.col("source").eqNullSafe(F.col("s1")) & (F.col("b1") == F.col("c1")))
     fine = fine.select(F.col("source").alias("s2"), F.col("b1").alias("d1"), F.col("b2").alias("d2"), (F.col("at1") + F.col("at2")).alias("at"))
     rows = own.join(fine, F.col("source").eqNullSafe(F.col("s2")) & (F.col("b1") == F.col("d1")) & (F.col("b2") == F.col("d2")))
-    w = Window.partitionBy("source", "b1", "b2").orderBy("h", "key", "size")
-    rows = rows.withColumn("start", F.col("at") + F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rn", F.row_number().over(w))
+    w = Window.partitionBy("source", "b1", "b2").orderBy("h", "key", "size", *extra)
+    rows = rows.withColumn("start", F.col("at") + F.coalesce(F.sum("all").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rn", F.row_number().over(w))
+    rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("start") + F.col("copy_no") * F.col("size"))
     goal = goals.select(F.col("source").alias("s3"), "source_size", "target", "goal")
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s3"))).select("key", "source", "size", *extra, "start", "rn", "source_size", "target", "goal")
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s3"))).select("key", "source", "size", *extra, "start", "rn", "copy_no", "source_size", "target", "goal")
     # each pass over a source repeats its stream; a document lies in the blocks it overlaps
     passes = int(-(-cap // 1))
     copy = F.array(*[F.struct(F.lit(q).alias("pass_no"), (F.col("start") + q * F.col("source_size")).alias("p")) for q in range(passes)])
@@ -132,25 +138,27 @@ def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, .
     lo, hi = F.greatest("first", F.col("copy.p")) - F.col("copy.p"), F.least("last", F.col("copy.p") + F.col("size")) - F.col("copy.p")
     joined = joined.withColumn("from_word", lo).withColumn("to_word", hi)
     taken = F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).cast("long")
-    per_doc = joined.groupBy("key", "source", "size", "start", "rn", "source_size", "target").agg(taken.alias("taken"))
+    per_doc = joined.groupBy("key", "source", "size", "start", "rn", "copy_no", "source_size", "target").agg(taken.alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
     pieces = joined.where("slot is not null").select("slot", F.col("copy.pass_no").alias("pass_no"), "key", "source", "size", "start", "from_word", "to_word", *extra)
-    return Mix(goals, schedule, pieces, per_doc.select("key", "source", "size", "source_size", "target", "taken"))
+    return Mix(goals, schedule, pieces, per_doc.select("key", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots"))
 
 
 def mixed_documents(docs: DataFrame, key: str, text: str, source: str, length: str | None = None, **options) -> DataFrame:
     """docs as the mix takes them, in docs' columns: one row for each time that a document is taken.
 
     Where a source's goal ends within a document, that copy keeps its leading words, joined by spaces; length (a
-    column of character counts) then follows. Rows equal in key, source and text stand for one another: their
-    other columns come from any one of them.
+    column of character counts) then follows. The rows of each partition lie in the order of their first slots, so every
+    file of the result goes through the schedule. Rows stand for one another only if they are equal in all columns.
     """
-    found = mix(docs, key, text, source, extra={"digest": F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))}, **options)
-    copies = found.pieces.groupBy("key", "source", "digest", "size", "start", "pass_no").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
-    k1, k2, n = (free_name(docs, x) for x in ("k1", "k2", "words"))
-    copies = copies.select(F.struct("key", "source", "digest").alias(k2), F.when(F.col("words") < F.col("size"), F.col("words")).otherwise(-1).alias(n))
     body = F.col(f"`{text}`").cast("string")
-    named = docs.withColumn(k1, F.struct(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.md5(F.coalesce(body, F.lit("")).cast("binary")).alias("digest"))).dropDuplicates([k1])
-    each = named.join(copies, F.col(k1).eqNullSafe(F.col(k2)))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    row = F.md5(F.concat_ws(":", F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(rest)])), F.coalesce(F.md5(body.cast("binary")), F.lit("null"))).cast("binary"))
+    found = mix(docs, key, text, source, extra={"row": row}, **options)
+    copies = found.pieces.groupBy("row", "size", "start", "pass_no").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"), F.min("slot").alias("slot"))
+    k1, k2, n, at, start = (free_name(docs, x) for x in ("k1", "k2", "words", "slot", "start"))
+    copies = copies.select(F.col("row").alias(k2), F.when(F.col("words") < F.col("size"), F.col("words")).otherwise(-1).alias(n), F.col("slot").alias(at), F.col("start").alias(start))
+    named = docs.withColumn(k1, row).dropDuplicates([k1])
+    each = named.join(copies, F.col(k1) == F.col(k2)).sortWithinPartitions(at, start)
     cut_text = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), 0), F.lit(1), F.col(n).cast("int")), " ")
     new = {text: F.when(F.col(n) < 0, body).otherwise(cut_text)}
     each = each.withColumns(new)

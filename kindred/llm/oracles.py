@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from kindred.llm.secrets import ACCESS, ASSIGN, BARE, COPIED_OWNERS, HEX, LEAST_ASSIGNED
+from kindred.llm.mixing import BLOCK, RANGE, STEP
+from kindred.llm.secrets import ACCESS, ASSIGN, BARE, COPIED_OWNERS, COPIED_REPOSITORIES, HEX, LEAST_ASSIGNED
 
 CHAT = """
 with t as (select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as content from conversations where conv_id is not null),
@@ -57,26 +58,39 @@ with d as (select doc_id, source, replace(coalesce(text, ''), chr(1), chr(2)) as
   bare as (from m3 where regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]')
     and not exists (select 1 from base where base.doc_id = m3.doc_id and base.start_ < m3.end_ and m3.start_ < base.end_)),
   every as (from base union all from bare),
-  own as (select val, count(distinct source) + max((source is null)::int) as owners, max((kind < 3)::int) as keyed from every group by val),
-  told as (select *, case when owners >= {COPIED_OWNERS} then 'example' when keyed = 1 then 'live' else 'unknown' end as verdict from every join own using (val)),
+  own as (select val, count(distinct source) + max((source is null)::int) as owners, count(distinct (doc_id, source)) as repositories, max((kind < 3)::int) as keyed from every group by val),
+  told as (select *, case when owners >= {COPIED_OWNERS} or repositories >= {COPIED_REPOSITORIES} then 'example' when keyed = 1 then 'live' else 'unknown' end as verdict from every join own using (val)),
   kept as (from told where kind < 3 or verdict = 'live'),
   line as (select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
     coalesce(string_agg(name || ':' || start_ || ':' || end_, ',' order by start_, kind, end_) filter (kind < 3), '') as base_line,
     string_agg(name || ':' || start_ || ':' || end_, ',' order by start_, kind, end_) as spans,
-    count(*) filter (verdict = 'live') as n_live, count(*) filter (verdict = 'example') as n_example from kept group by doc_id)
+    count(*) filter (verdict = 'live') as n_live, count(*) filter (verdict = 'example') as n_example,
+    max(owners) as most_owners, max(repositories) as most_repositories from kept group by doc_id)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base_line, '')) as base_sha256,
-  coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from documents left join line using (doc_id)
+  coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example,
+  coalesce(most_owners, 0) as most_owners, coalesce(most_repositories, 0) as most_repositories from documents left join line using (doc_id)
 """
 
-MIXING = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents),
+#: The schedule is worked out slot by slot: point i * STEP mod RANGE falls to the source whose share of the range holds it.
+MIXING = rf"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as h from documents),
   s as (select source, sum(size)::bigint as source_size from d group by source),
   w as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight, source_size * 2.0::double as most from s),
   l as (select *, ((sum(source_size) over ())::double * 1.5::double - coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following) as level from w),
   t as (select *, max(case when level <= most / weight then level end) over () as top from l),
   g as (select source, source_size, coalesce(least(most, top * weight), most) as target, least(floor(coalesce(least(most, top * weight), most) + 0.5), most)::bigint as goal from t),
-  o as (select *, (sum(size) over (partition by source order by h, doc_id nulls first, size rows between unbounded preceding and current row) - size)::bigint as start_ from d)
-select doc_id, size, source_size, target, (least(size, greatest(0, goal - start_)) + least(size, greatest(0, goal - source_size - start_)))::bigint as taken
-from o join g on o.source is not distinct from g.source
+  o as (select row_number() over (order by h, doc_id, source) as id, *, (sum(size) over (partition by source order by h, doc_id nulls first, size rows between unbounded preceding and current row) - size)::bigint as start_ from d),
+  need as (select source, goal, ceil(goal / {BLOCK}.0)::bigint as need, floor(sum(target) over (order by source nulls last) / sum(target) over () * {RANGE}.0::double)::bigint as high from g where goal > 0),
+  share as (select *, coalesce(lag(high) over (order by source nulls last), 0) as low, (sum(need) over ())::bigint as n from need),
+  point as (select i as slot, (i % {RANGE}) * {STEP} % {RANGE} as point from range((select coalesce(max(n), 0)::bigint from share)) r(i)),
+  rank_ as (select slot, source, need, row_number() over (partition by source order by slot) - 1 as k from point join share on point >= low and point < high),
+  own as (select slot, source, k from rank_ where k < need),
+  had as (select share.source, need, n, (select count(*) from own where own.source is not distinct from share.source) as had from share),
+  plan as (from own union all select n + k as slot, source, k from had, lateral (select unnest(range(had, need)) as k)),
+  copy as (select id, o.source, size, start_ + q * source_size as p, goal from o join g on o.source is not distinct from g.source, range(2) r(q) where size > 0 and start_ + q * source_size < goal),
+  block as (select id, source, unnest(range(p // {BLOCK}, (least(p + size, goal) - 1) // {BLOCK} + 1)) as k from copy),
+  slots as (select id, min(slot) as first_slot, count(*) as n_slots from block join plan on block.source is not distinct from plan.source and block.k = plan.k group by id)
+select doc_id, size, source_size, target, (least(size, greatest(0, goal - start_)) + least(size, greatest(0, goal - source_size - start_)))::bigint as taken, first_slot, coalesce(n_slots, 0) as n_slots
+from o join g on o.source is not distinct from g.source left join slots using (id)
 """

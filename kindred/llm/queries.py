@@ -74,13 +74,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(line(base).cast("binary"), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"), told("live").alias("n_live"), told("example").alias("n_example"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_owners"])), F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_repositories"])), F.lit(0)).cast("long").alias("most_repositories"),
     )
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").documents.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").documents.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

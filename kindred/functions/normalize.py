@@ -34,12 +34,13 @@ def normalize_for_embedding(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), SPACES, " ")
 
 
+#: A host that shows a page for a shared file, and the one that serves the file itself.
+SHARE_HOST, FILE_HOST = "dropbox.com", "dl.dropboxusercontent.com"
+
+
 def direct_download_url(url: Column) -> Column:
-    """Share links of a file host as links to the file; other addresses unchanged."""
-    share, direct = "dropbox.com", "dl.dropboxusercontent.com"
-    for found, put in ((f"https://www.{share}", f"https://{direct}"), (f"www.{share}", direct), (share, direct)):
-        url = F.regexp_replace(url, re.escape(found), put)
-    return url
+    """Links to the page of a shared file as links to the file, with or without www; other addresses unchanged."""
+    return F.regexp_replace(url, rf"(?:www\.)?\Q{SHARE_HOST}\E", FILE_HOST)
 
 
 def to_double(value: Column) -> Column:

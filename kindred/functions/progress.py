@@ -1,17 +1,22 @@
-"""Progress messages with a time, through the standard logger "kindred": quiet unless its level lets them pass."""
+"""Progress messages on the logger "kindred", which a program shows or leaves out by its level."""
 
 from __future__ import annotations
 
 import logging
-from datetime import datetime, timezone
+import time
 
 LOGGER = logging.getLogger("kindred")
 
 
-def progress(text: str, quiet: bool = False) -> str | None:
-    """Log the text behind the time of day; quiet leaves it out."""
-    if quiet:
-        return None
-    line = f"[{datetime.now(timezone.utc):%Y-%m-%d %H:%M:%S}] {text}"
-    LOGGER.info(line)
-    return line
+def show_progress(level: int = logging.INFO) -> logging.Handler:
+    """Write messages of that level and above to the standard error, each with the time (UTC)."""
+    handler, layout = logging.StreamHandler(), logging.Formatter("%(asctime)s kindred: %(message)s")
+    layout.converter = time.gmtime
+    handler.setFormatter(layout)
+    LOGGER.addHandler(handler)
+    LOGGER.setLevel(level)
+    return handler
+
+
+def progress(text: str, *values: object) -> None:
+    LOGGER.info(text, *values)

@@ -15,7 +15,11 @@ SAMPLE, LEAST = 1000, 1e-6
 
 
 def _sample(df: DataFrame, n: int, seed: int) -> DataFrame:
-    return df if n <= SAMPLE else df.orderBy(F.rand(seed)).limit(SAMPLE)
+    """SAMPLE rows by a hash of their values and the seed, whatever the partitions; a smaller table whole."""
+    if n <= SAMPLE:
+        return df
+    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    return df.orderBy(h, *[F.col(f"`{c}`") for c in df.columns]).limit(SAMPLE)
 
 
 def _quantile(distances: DataFrame, share: float) -> float:

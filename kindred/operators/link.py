@@ -111,7 +111,7 @@ def _match(x: DataFrame, y: DataFrame, distance, q, metric, by_vector, max_dist,
     if by_vector:
         if max_dist is None:
             max_dist = calibrate.vector_threshold(x, y, "v", "v", target, metric, seed)
-        x, y = (df.where("raw is not null").groupBy("raw").agg(F.collect_set("v").alias("vs")).select("raw", F.explode("vs").alias("v")).withColumn("i", F.xxhash64("raw", "v")) for df in (x, y))
+        x, y = (df.where("raw is not null").groupBy("raw").agg(F.collect_set("v").alias("vs")).select("raw", F.explode("vs").alias("v")).withColumn("i", _vector_id()) for df in (x, y))
         found = vector_pairs(x, y, "i", "i", "v", "v", max_dist, metric)
         named = found.join(x.select(F.col("raw").alias(_LX), F.col("i").alias("left_id")), "left_id").join(y.select(F.col("raw").alias(_LY), F.col("i").alias("right_id")), "right_id")
         return named.groupBy(_LX, _LY).agg(F.min("stringdist").alias("d"))
@@ -123,6 +123,11 @@ def _match(x: DataFrame, y: DataFrame, distance, q, metric, by_vector, max_dist,
     return named.select(_LX, _LY, F.col("stringdist").alias("d"))
 
 
+def _vector_id() -> Column:
+    """A name and its vector as 256 bits."""
+    return F.sha2(F.concat_ws(":", F.sha2(F.col("raw").cast("binary"), 256), F.array_join(F.transform(F.col("v").cast("array<double>"), lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ",")).cast("binary"), 256)
+
+
 def resolve(names: DataFrame, directory: DataFrame, distance: str = "jaccard", q: int = 2, max_dist: float | None = None, target: float = TARGET_NETWORK, seed: int = 0, metric: str | Callable = "euclidean", by_vector: bool = False) -> DataFrame:
     """names (raw, name, v), directory (alias_name, canonical_id) -> raw, canonical_id, d: the least distance to any alias."""
     aliases = directory.select(F.col("alias_name").alias("raw"), F.col("alias_name").alias("name"), *([F.col("embedding").alias("v")] if by_vector else []))
@@ -159,8 +164,9 @@ def _gather(left: DataFrame, right: DataFrame, left_on: str, right_on: str, pair
     if diagnostics:
         from kindred.functions.normalize import value_id
 
-        out = out.withColumn("Xref__ID", value_id(F.col(_LX))).withColumn("Yref__ID", value_id(F.col(_LY))).withColumn("XYref__ID", F.concat("Xref__ID", F.lit("__LINKED__"), "Yref__ID"))
-        cols += ["Xref__ID", "Yref__ID", "XYref__ID"]
+        ids = ["left_value_id", "right_value_id", "pair_id"]
+        out = out.withColumns({ids[0]: value_id(F.col(_LX)), ids[1]: value_id(F.col(_LY))}).withColumn(ids[2], F.sha2(F.concat_ws(":", *ids[:2]), 256))
+        cols += ids
     return out.select(*[f"`{c}`" for c in cols])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.grams import trigrams
-from kindred.functions.normalize import direct_download_url, normalize_name, pasted_names
+from kindred.functions.normalize import NormalizeOptions, direct_download_url, normalize_for_embedding, normalize_name, pasted_names
 from kindred.operators import assess as _assess
 from kindred.operators import calibrate
 from kindred.operators.blocking import candidates, trigram_index
@@ -113,7 +113,9 @@ def normalize_names(spark, sf_dir):
 
 
 def direct_urls(spark, sf_dir):
-    shared = F.concat(F.lit("https://www.dropbox.com/s/"), F.col("page_id").cast("string"), F.lit("/file.csv?dl=0&from="), F.col("url"))
+    """Share links with and without www and scheme, and addresses of other hosts."""
+    host = F.element_at(F.array(*map(F.lit, ("https://www.dropbox.com", "https://dropbox.com", "www.dropbox.com", "https://example.org"))), (F.col("page_id") % 4 + 1).cast("int"))
+    shared = F.concat(host, F.lit("/s/"), F.col("page_id").cast("string"), F.lit("/file.csv?dl=0&from="), F.col("url"))
     return _table(spark, sf_dir, "pages").select("page_id", direct_download_url(shared).alias("url"))
 
 
@@ -151,6 +153,20 @@ def link_left(spark, sf_dir):
     return _round(link(x, _names(spark, sf_dir), left_on="label", right_on="p_name", max_dist=0.45, how="left"), "stringdist", "minDist")
 
 
+def _link_kept(how: str):
+    def query(spark, sf_dir):
+        return _round(link(_labels(spark, sf_dir), _names(spark, sf_dir), left_on="label", right_on="p_name", max_dist=0.2, how=how), "stringdist", "minDist")
+
+    return query
+
+
+def normalize_opt_outs(spark, sf_dir):
+    """Each of the three steps left out, and what an embedder is given."""
+    label = F.upper(F.concat_ws(" &  ", "p_name", "p_type"))
+    out = {n: normalize_name(label, NormalizeOptions(**{n: False})) for n in ("lower", "spaces", "punctuation")}
+    return _table(spark, sf_dir, "part").select("p_partkey", *[c.alias(f"no_{n}") for n, c in out.items()], normalize_for_embedding(label).alias("for_embedding"))
+
+
 def directory_aliases(spark, sf_dir):
     return clean_directory(_directory(spark, sf_dir))
 
@@ -193,6 +209,14 @@ def manhattan(vector, others):
     return abs(others - vector).sum(axis=1)
 
 
+def link_embedding(spark, sf_dir):
+    """Linking by vectors that the tables bring along; a name has several, and a pair of names its nearest two."""
+    e = _table(spark, sf_dir, "embeddings").withColumn("name", F.concat(F.lit("Name "), F.floor(F.col("vec_id") / 3).cast("string")))
+    x, y = e.where("vec_id % 2 = 0").groupBy("name", "embedding").agg(F.min("vec_id").alias("vec_id")), e.where("vec_id % 2 = 1").groupBy("name", "embedding").agg(F.min("vec_id").alias("vec_id"))
+    found = link(x, y, on="name", algorithm="embedding", left_embedding="embedding", right_embedding="embedding", max_dist=1.1)
+    return _round(found.select("name_x", "name_y", "stringdist", "minDist"), "stringdist", "minDist")
+
+
 def calibrate_vectors(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
     return _round(spark.createDataFrame([(calibrate.vector_threshold(e, e, "embedding", "embedding", 5.0),)], "threshold double"), "threshold")
@@ -231,6 +255,7 @@ QUERIES = {
     "trigram_counts": trigram_counts, "trigram_candidates": trigram_candidates,
     "fuzzy_jaccard_fixed": _fuzzy("jaccard"), **{f"fuzzy_{m}": _fuzzy(m) for m in THRESHOLDS if m != "jaccard"},
     "calibrate_names": calibrate_names, "link_calibrated": link_calibrated, "link_parts": link_parts, "link_left": link_left,
+    "link_right": _link_kept("right"), "link_full": _link_kept("full"), "normalize_opt_outs": normalize_opt_outs, "link_embedding": link_embedding,
     "directory_aliases": directory_aliases, "network_resolve": network_resolve, "network_link": network_link, "exact_lookup": exact_lookup,
     "top_names": top_names, "assess_names": assess_names, "embed_match": _vectors("euclidean", 1.2), "embed_rmse": _vectors("rmse_eps", 0.15),
     "embed_custom_metric": _vectors(manhattan, 7.0), "calibrate_vectors": calibrate_vectors, "assess_vectors": assess_vectors, "impute_vectors": impute_vectors,
@@ -241,7 +266,8 @@ _RAW = f"""rx as (select label as raw, {_N('label')} as name from ({_X})), ry as
 _ALIASES = f"select {_N('p_name')} as alias_name, min(regexp_extract(p_name, '[^ ]*$')) as canonical_id from ({_Y}) where trim({_N('p_name')}) <> '' group by 1"
 SQL: dict[str, str] = {
     "normalize_names": f"select doc_id, {_N('text')} as name from documents",
-    "direct_urls": "select page_id, replace('https://www.dropbox.com/s/' || page_id || '/file.csv?dl=0&from=' || url, 'https://www.dropbox.com', 'https://dl.dropboxusercontent.com') as url from pages",
+    "direct_urls": """select page_id, ['https://dl.dropboxusercontent.com', 'https://dl.dropboxusercontent.com', 'dl.dropboxusercontent.com', 'https://example.org'][page_id % 4 + 1]
+      || '/s/' || page_id || '/file.csv?dl=0&from=' || url as url from pages""",
     "pasted_lines": r"with l as (select regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') as names from documents) select names, count(*) as n from l where names <> '' group by 1",
     "trigrams_of_texts": f"with n as (select doc_id, {_N('text')} as name from documents), t as (select doc_id, {_TRI} as t from n) select doc_id, len(t) as n, array_to_string(t, '|') as trigrams from t",
     "trigram_counts": f"with x as (select distinct {_N('label')} as name from ({_X})), t as (select name, unnest({_TRI}) as trigram from x) select name, trigram, count(*) as n from t group by all",
@@ -259,6 +285,15 @@ SQL: dict[str, str] = {
     "link_left": f"""with {_blocked()}, {_RAW}, d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
       m as (select rx.raw as label, ry.raw as p_name, round(d, 9) as d from d join rx on rx.name = left_name join ry on ry.name = right_name where d <= 0.45)
       select rx.raw as label, p_name, d as stringdist, d as "minDist" from rx left join m on m.label = rx.raw""",
+    **{f"link_{how}": f"""with {_blocked()}, {_RAW}, d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs),
+      m as (select rx.raw as label, ry.raw as p_name, round(d, 9) as d from d join rx on rx.name = left_name join ry on ry.name = right_name where d <= 0.2)
+      select {'rx.raw' if how == 'full' else 'm.label'} as label, ry.raw as p_name, d as stringdist, d as "minDist"
+      from {'rx full join m on m.label = rx.raw full' if how == 'full' else 'm right'} join ry on m.p_name = ry.raw""" for how in ("right", "full")},
+    "normalize_opt_outs": rf"""with l as (select p_partkey, upper(p_name || ' &  ' || p_type) as n from part)
+      select p_partkey, regexp_replace(regexp_replace(n, '[\t\n\f\r\pZ]+', ' ', 'g'), '\pP', '', 'g') as no_lower, regexp_replace(lower(n), '\pP', '', 'g') as no_spaces,
+        regexp_replace(lower(n), '[\t\n\f\r\pZ]+', ' ', 'g') as no_punctuation, regexp_replace(lower(n), '[\t\n\f\r\pZ]+', ' ', 'g') as for_embedding from l""",
+    "link_embedding": f"""with d as (select 'Name ' || a.vec_id // 3 as name_x, 'Name ' || b.vec_id // 3 as name_y, {_EUCLID} as d from embeddings a, embeddings b where a.vec_id % 2 = 0 and b.vec_id % 2 = 1)
+      select name_x, name_y, round(min(d), 9) as stringdist, round(min(d), 9) as "minDist" from d where d <= 1.1 group by all""",
     "directory_aliases": _ALIASES,
     "network_resolve": f"""with {_blocked()}, {_RAW}, dir as ({_ALIASES}), d as (select *, {DISTANCE_SQL['jaccard']} as d from pairs)
       select rx.raw as raw, canonical_id, round(min(d), 9) as d from d join rx on rx.name = left_name join dir on alias_name = right_name where d <= 0.6 group by all""",

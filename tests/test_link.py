@@ -72,7 +72,7 @@ def test_validation(spark):
         link(None, x, on="n")
     with pytest.raises(ValueError):
         calibrate.threshold(x, x, "n", "n", mode="other")
-    assert "XYref__ID" in link(x, x, on="n", max_dist=0, diagnostics=True).columns
+    assert "pair_id" in link(x, x, on="n", max_dist=0, diagnostics=True).columns
 
 
 DIRECTORY = [("apple llc", "A"), ("apple corp", "A"), ("microsoft inc", "M"), ("microsoft corporation", "M")]

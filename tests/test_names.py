@@ -1,3 +1,4 @@
+import logging
 import math
 import random
 import zipfile
@@ -12,7 +13,7 @@ from kindred.functions import arrow_distance
 from kindred.functions.distance import NAME_DISTANCES, euclidean, name_distance, rmse_eps
 from kindred.functions.grams import qgrams, trigrams
 from kindred.functions.normalize import NormalizeOptions, direct_download_url, guess_name_column, normalize_name, numeric_columns, pasted_names, rename_embedding_columns, to_double, without_blank_names, zero_if_null
-from kindred.functions.progress import progress
+from kindred.functions.progress import LOGGER, progress, show_progress
 from kindred.operators.blocking import candidates
 from kindred.sources.files import clean_directory, find_directory, load_directory, read_csv, write_csv
 
@@ -42,8 +43,17 @@ def test_helpers(spark):
     assert without_blank_names(names(spark, "a", "  ", None), "name").count() == 1
 
 
-def test_progress():
-    assert progress("x", quiet=True) is None and progress("done").endswith("] done")
+def test_progress(capsys):
+    progress("not shown")
+    handler = show_progress()
+    try:
+        progress("%d of %d", 1, 2)
+    finally:
+        LOGGER.removeHandler(handler)
+        LOGGER.setLevel(logging.NOTSET)
+    progress("not shown")
+    said = capsys.readouterr().err
+    assert said.endswith(" kindred: 1 of 2\n") and said.count("\n") == 1
 
 
 def brute_trigrams(s):

@@ -116,7 +116,7 @@ def test_beyond_the_bound_the_rule_goes_on():
         assert all(sum(len(p[2]) for p in w) == 4 * h for h, ws in enumerate(packer.at) for w in ws)
         if k > 100:
             assert packer.open >= 5  # joining all would leave one
-    assert by["rule"] > 500 and by["cut"] > 500
+    assert by["cut"] > 500 and by["rule"] > 100  # few of these sizes add up to a window, and the rule still closes those
 
 
 def test_the_rule_closes_most_windows(spark):

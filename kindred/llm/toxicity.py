@@ -12,14 +12,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.bytefeatures import parts, word_hashes
-from kindred.llm.shared import batch, small_batches, texts
+from kindred.llm.shared import batch, key_names, small_batches, stored, texts
 
-#: Labelled rows that fit() draws at most, by a hash of their key; their whole texts are used.
-MAX_ROWS = 8000
+#: Labelled rows that fit() draws at most, by a hash of their key, and bytes of text that they hold together at most; whole
+#: texts are used. A text that alone holds a sixteenth of these bytes isn't learned from.
+MAX_ROWS, MAX_BYTES = 8000, 48 << 20
+#: Words that are worked through together; a longer text goes through the filters piece by piece.
+PIECE = 1 << 17
 #: Hash space of words and of their beginnings (in bytes), and training documents in which a hash must lie to have an embedding.
 SPACE, PREFIXES, LEAST_DOCS = 1 << 20, (4, 6, 8), 3
 DIM, FILTERS, WIDTHS = 12, 10, (1, 2, 3)
@@ -75,6 +78,35 @@ def _responses(rows: np.ndarray, first: np.ndarray, embeddings: np.ndarray, taps
 
 def score(rows: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
     """The probability of label 1 for every text; rows (words x channels) are rows of the embeddings."""
+    words = np.diff(first)
+    short = words <= PIECE
+    if short.all():
+        pooled = _pooled(rows, first, model)
+    else:
+        pooled = np.empty((len(words), len(WIDTHS) * FILTERS), np.float32)
+        pooled[short] = _pooled(rows[np.repeat(short, words)], np.concatenate([[0], np.cumsum(words[short])]), model)
+        for d in np.flatnonzero(~short):
+            pooled[d] = _pooled_in_pieces(rows[first[d] : first[d + 1]], model)
+    logit = pooled @ model.weights + model.bias
+    return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
+
+
+def _pooled_in_pieces(rows: np.ndarray, model: Model) -> np.ndarray:
+    """The filters' largest responses in one text, of windows that begin in one piece after the other."""
+    none = np.zeros((_PAD, rows.shape[1]), rows.dtype)  # row 0 is no word
+    rows = np.concatenate([none, rows, none])
+    top = np.zeros((len(WIDTHS), FILTERS), np.float32)
+    for lo in range(0, len(rows) - 2 * _PAD, PIECE):
+        own = rows[lo : lo + PIECE + 2 * _PAD]
+        z, at = _responses(own, np.array([0, len(own)]), model.embeddings, model.taps)
+        for k, width in enumerate(WIDTHS):
+            z_own = z[k][at[0] + _PAD - width + 1 : at[0] + len(own) - _PAD]
+            top[k] = np.maximum(top[k], z_own.max(axis=0) + model.biases[k])
+    return top.ravel()
+
+
+def _pooled(rows: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
+    """The filters' largest responses in each text, 0 where none is above."""
     pooled = np.zeros((len(first) - 1, len(WIDTHS) * FILTERS), np.float32)
     words = np.diff(first)
     has = np.flatnonzero(words)
@@ -85,8 +117,7 @@ def score(rows: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
             cuts = np.stack([at[has] - width + 1, at[has] + words[has]], 1).ravel()
             top = np.maximum.reduceat(z[k], cuts, axis=0)[::2]
             pooled[has, k * FILTERS : (k + 1) * FILTERS] = np.maximum(top + model.biases[k], 0)
-    logit = pooled @ model.weights + model.bias
-    return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
+    return pooled
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
@@ -185,8 +216,12 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str | None]) -
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, lang: str | None = None, max_rows: int = MAX_ROWS) -> Model:
-    """Train on at most max_rows labelled documents, drawn by a hash of the key.
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, lang: str | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
+) -> Model:
+    """Train on at most max_rows labelled documents, drawn by a hash of the key, as long as they hold max_bytes at most.
+
+    The driver gets 16 bytes for each word of these documents. Texts of max_bytes / 16 or more are not drawn.
 
     labels (key, label): rows with a null in either are left out, and so are those without a document. Of several documents
     with one key a hash of the text picks one, so that no key brings more rows than it has labels. lang (a column of
@@ -198,7 +233,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, lan
     own = docs.select(F.col(f"`{key}`").alias("key_"), F.col(f"`{text}`").cast("string").alias("text_"), (F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string")).alias("lang_"))
     held = own.join(F.broadcast(drawn), "key_")  # at most max_rows narrow rows
     one = F.min_by(F.struct("lang_", "text_"), F.xxhash64("text_", "lang_")).alias("doc")
-    rows = held.groupBy("key_", "label_").agg(one).select("key_", "label_", "doc.lang_", "doc.text_")
+    rows = stored(held.groupBy("key_", "label_").agg(one).select("key_", "label_", "doc.lang_", "doc.text_"), "labelled")
+    sizes = rows.select("key_", "label_", F.coalesce(F.octet_length("text_"), F.lit(0)).cast("long").alias("size")).where(F.col("size") < max_bytes // 16)
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("key_", F.lit(11)), "key_", "label_"))  # at most max_rows narrow rows
+    drawn = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("key_", "label_")
+    rows = rows.join(F.broadcast(drawn), ["key_", "label_"]).select("key_", "label_", "lang_", "text_")
     kind = rows.schema["key_"].dataType.simpleString()
     got = rows.mapInArrow(_hashes, f"key {kind}, label int, lang string, hashes binary").toArrow()
     keys, y, langs, raw = (got.column(c).to_pylist() for c in ("key", "label", "lang", "hashes"))
@@ -233,18 +272,27 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classify(docs: DataFrame, key: list[str | Column], text: str, model: Model, lang: str | None = None) -> DataFrame:
     """docs -> key..., score, predicted (score >= 0.5), threshold (of the row's language), toxic (score >= threshold).
 
-    The score looks at the text alone. A null text is an empty one, which has a score too. One row per input row.
+    The score looks at the text alone. A null text is an empty one, which has a score too. One row per input row. A key
+    named like a result has an underscore put before its name. A very long text takes 32 bytes a word; its words go
+    through the filters piece by piece, with the same result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(*key, (F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string")).alias("lang_"), F.col(f"`{text}`").cast("string").alias("text_"))
-    kept = own.drop("lang_", "text_").schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    own = docs.select(*key, F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string"), F.col(f"`{text}`").cast("string"))
+    kept = own.schema.fields[:-2]
+    names = key_names([f.name for f in kept], RESULTS)
+    fields = "".join(f"`{n}` {f.dataType.simpleString()}, " for n, f in zip(names, kept, strict=True))
+    own = own.toDF(*[f"c{i}" for i in range(len(own.columns))])
     shared = spark.sparkContext.broadcast(model)
-    return own.mapInArrow(_classify(shared, len(kept)), f"{fields}, score double, predicted int, threshold double, toxic boolean")
+    return own.mapInArrow(_classify(shared, names), f"{fields}score double, predicted int, threshold double, toxic boolean")
+
+
+RESULTS = ("score", "predicted", "threshold", "toxic")
+
 
+def _classify(shared, names: list[str]) -> Callable:
+    n_keys = len(names)
 
-def _classify(shared, n_keys: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         general = model.thresholds.get("", 0.5)
@@ -255,7 +303,7 @@ def _classify(shared, n_keys: int) -> Callable:
                 h, first = hashes(docs[i:j])
                 s[i:j] = score(model.row[h], first, model)
             limit = np.array([model.thresholds.get(x or "", general) for x in langs])
-            cols = {f: (b.column(i), None) for i, f in enumerate(b.schema.names[:n_keys])}
+            cols = {f: (b.column(i), None) for i, f in enumerate(names)}
             yield batch(cols | {"score": (s, pa.float64()), "predicted": ((s >= 0.5).astype(np.int32), pa.int32()), "threshold": (limit, pa.float64()), "toxic": (s >= limit, pa.bool_())})
 
     return run

@@ -52,6 +52,36 @@ def test_the_network_against_one_word_by_word():
     assert np.allclose(got, [brute_score(model, d) for d in docs], atol=1e-4)
 
 
+def test_pieces_give_what_whole_texts_give(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(np.zeros(1, np.int32), rng.normal(size=(50, toxicity.DIM)).astype(np.float32), rng.normal(size=(toxicity.DIM, len(toxicity._TAPS) * toxicity.FILTERS)).astype(np.float32) / 9, rng.normal(size=(3, toxicity.FILTERS)).astype(np.float32), rng.normal(size=3 * toxicity.FILTERS).astype(np.float32) / 5, 0.3)
+    model.embeddings[0] = 0
+    docs = [rng.integers(0, 50, (n, 4)) for n in (5, 0, 16, 17, 40, 1, 15, 33)]
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    whole = toxicity.score(np.concatenate(docs), first, model)
+    for piece in (1, 2, 8, 16):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(toxicity.score(np.concatenate(docs), first, model), whole, atol=1e-5)
+
+
+def test_no_more_bytes_are_learned_from_than_stated(spark, monkeypatch):
+    rows = [(i, ("worthless scum " if i % 2 else "kind friend ") * (3 if i else 400)) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda words, y, train=toxicity.train: seen.append(sorted(map(len, words))) or train(words, y))
+    toxicity.fit(docs, labels, "id", "text", "toxic")
+    toxicity.fit(docs, labels, "id", "text", "toxic", max_bytes=1000)
+    assert len(seen[0]) == 60 and seen[0][-1] == 800
+    assert 0 < len(seen[1]) <= 1000 // 36 and seen[1][-1] == 6
+
+
+def test_keys_may_be_named_like_results(spark):
+    model = toxicity.fit(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([], "id long, toxic int"), "id", "text", "toxic")
+    docs = spark.createDataFrame([(1, "a", "de", 7)], "score long, text_ string, lang_ string, toxic int")
+    got = toxicity.classify(docs, ["score", "text_", "lang_", "toxic"], "text_", model, lang="lang_").collect()
+    assert [tuple(r)[:4] for r in got] == [(1, "a", "de", 7)] and got[0].asDict()["_score"] == 1
+
+
 def test_thresholds():
     s, y = np.array([0.9, 0.8, 0.7, 0.2] * 10), np.array([1, 1, 0, 0] * 10)
     t = toxicity.calibrate(s, y, ["en"] * 40)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import batch, small_batches, stored
+from kindred.llm.shared import batch, cut, small_batches, stored
 
 #: Payloads from this many bytes on are stored once.
 LEAST_SHARED = 1000
@@ -35,16 +35,21 @@ ARCHIVE = "archive_id string, n_records long, dictionary_bytes long, content bin
 def with_types(pages: DataFrame, key: str, url: str, payload: str, least: int = LEAST_SHARED) -> DataFrame:
     """pages -> key, url, payload (bytes), digest, record_type, refers_to.
 
-    Payloads of `least` bytes or more are grouped by SHA-1 and length, in narrow rows with partial sums. The largest key
-    of a group is the response. Smaller payloads, and those of which there is one, move no further than the join needs.
+    Payloads of `least` bytes or more are grouped by SHA-1, in narrow rows of key and digest. The largest key of a group
+    is the response. Payloads then meet what is said of their own key and digest, so those of a common page are dealt
+    out by their keys and never gather in one task. Smaller payloads do not move.
     """
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.length("payload") >= least
-    same = rows.where(large).groupBy("digest").agg(F.max("key").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    named = rows.where(large).join(same.withColumnRenamed("digest", "digest2"), F.col("digest") == F.col("digest2"), "left")
-    revisit = F.col("response").isNotNull() & ~F.col("key").eqNullSafe(F.col("response"))
-    types = named.select("key", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
+    narrow = stored(rows.where(large).select("key", "digest"), "warc-keys")
+    same = narrow.groupBy("digest").agg(F.max("key").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null")
+    same = cut(same.select(F.col("digest").alias("digest2"), "response"))
+    again = narrow.join(same, F.col("digest") == F.col("digest2")).where(~F.col("key").eqNullSafe(F.col("response")))
+    again = cut(again.select(F.col("key").alias("key2"), "digest2", "response").distinct())
+    named = rows.where(large).join(again, F.col("key").eqNullSafe(F.col("key2")) & (F.col("digest") == F.col("digest2")), "left")
+    revisit = F.col("response").isNotNull()
+    types =named.select("key", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
     single = rows.where(~large).select("key", "url", "payload", "digest", F.lit("response").alias("record_type"), F.lit(None).cast(rows.schema["key"].dataType).alias("refers_to"))
     return types.unionByName(single)
 

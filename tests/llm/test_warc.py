@@ -49,6 +49,13 @@ def test_edge_cases(spark):
     assert warc.write(pages.limit(0), "page_id", "url", "html").count() == 0
 
 
+def test_a_common_page_and_keys_that_repeat(spark):
+    common = "x" * 1500
+    rows = [(i % 90 if i % 7 else None, None, common if i % 3 else "y" * (998 + i % 5)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert told(warc.read(warc.write(pages, "page_id", "url", "html"))) == brute(rows)
+
+
 def test_format():
     records = [warc.record(i, f"http://e/{i}", f"<html>page {i} {'words ' * (i % 7)}</html>".encode() * 30, hashlib.sha1(b"x").hexdigest(), "response", None) for i in range(300)]
     content, n = warc.archive(records)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.bytefeatures import letter_trigrams, parts
-from kindred.llm.shared import batch, key_names, small_batches, texts
+from kindred.llm.shared import batch, key_names, lean, small_batches, texts
 
 BUCKETS = 1 << 16
 #: Words drawn together; expectation-maximisation ends when no proportion moves by more than this.
@@ -45,7 +45,7 @@ def fit(rows: DataFrame, text: str, lang: str) -> Model:
     """
     small_batches(rows.sparkSession)
     own = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = own.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = own.mapInArrow(lean(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toArrow()
     names = sorted(found.column("lang").to_pylist())
     table = np.zeros((len(names), BUCKETS))
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, key: list[str | Column], text: str, model: Model,
     own = own.toDF(*[f"c{i}" for i in range(len(own.columns))])
     shared = spark.sparkContext.broadcast(model)
     result = "lang_pred string, score double, languages array<string>, shares array<double>" + ", text string" * keep_text
-    return own.mapInArrow(_identify(shared, names, keep_text), f"{fields}, {result}" if fields else result)
+    return own.mapInArrow(lean(_identify(shared, names, keep_text)), f"{fields}, {result}" if fields else result)
 
 
 def _identify(shared, names: list[str], keep_text: bool) -> Callable:

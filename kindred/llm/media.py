@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import batch, runs, scratch, small_batches, stored, texts
+from kindred.llm.shared import batch, lean, runs, scratch, small_batches, stored, texts
 
 #: Payloads are padded with PAD to a positive multiple of UNIT bytes.
 UNIT, PAD = 576, b"\xff"
@@ -120,7 +120,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _filter(repeated: DataFrame) -> np.ndarray:
     """The Bloom filter of a column of digests: FILTER_BITS / 8 bytes, whatever the input."""
-    got = repeated.mapInArrow(_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = repeated.mapInArrow(lean(_bits), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
     return out
@@ -179,11 +179,11 @@ def write(docs: DataFrame, key: str, text: str) -> Store:
     small_batches(spark)
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = own.schema["key"].dataType.simpleString()
-    listed = stored(own.mapInArrow(_describe, f"key {kind}, n_bytes long, media binary, digests array<binary>"), "media-catalog")
+    listed = stored(own.mapInArrow(lean(_describe), f"key {kind}, n_bytes long, media binary, digests array<binary>"), "media-catalog")
     repeated = stored(listed.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "media-repeated")
     bits = spark.sparkContext.broadcast(_filter(repeated))
     base = scratch(spark, "media-store")
-    own.select("text").mapInArrow(_write(bits), f"kind int, {PACK}").write.partitionBy("kind").parquet(f"{base}/written")
+    own.select("text").mapInArrow(lean(_write(bits)), f"kind int, {PACK}").write.partitionBy("kind").parquet(f"{base}/written")
     written = spark.read.schema(f"{PACK}, kind int").parquet(f"{base}/written")
     sent = written.where("kind = 1").select(F.element_at("digests", 1).alias("digest"), "blob")
     # of the copies that tasks sent of a chunk, one stays; the others are never referred to
@@ -259,13 +259,13 @@ def read(store: Store) -> DataFrame:
     """Every stored file put together again, once: RESULT. Raises where bytes differ from their digests."""
     small_batches(store.packs.sparkSession)
     whole = F.forall("own", lambda o: o)
-    here = store.packs.where(whole).mapInArrow(_read_whole, RESULT)
+    here = store.packs.where(whole).mapInArrow(lean(_read_whole), RESULT)
     apart = store.packs.where(~whole).dropDuplicates(["media"])
     asked = apart.select("media", F.posexplode("own").alias("place", "has"), "digests").where("not has").select("media", "place", F.element_at("digests", F.col("place") + 1).alias("digest"))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("digests", "array<binary>"), ("sizes", "array<int>"), ("own", "array<boolean>"))]
     fetched = asked.join(store.shared, "digest").select("media", "place", *none, "blob")
     rows = apart.select("media", F.lit(-1).alias("place"), "digests", "sizes", "own", "blob").unionByName(fetched)
-    return here.unionByName(rows.repartition("media").sortWithinPartitions("media", "place").mapInArrow(_read_joined, RESULT))
+    return here.unionByName(rows.repartition("media").sortWithinPartitions("media", "place").mapInArrow(lean(_read_joined), RESULT))
 
 
 def round_trip(docs: DataFrame, key: str, text: str) -> DataFrame:

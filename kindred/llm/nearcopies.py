@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.bytefeatures import parts, shingle_hashes
 from kindred.llm.components import components
-from kindred.llm.shared import batch, cut, free_name, local_stars, node_of, runs, small_batches, stored, texts
+from kindred.llm.shared import batch, cut, free_name, lean, local_stars, node_of, runs, small_batches, stored, texts
 from kindred.llm.simhash import BLOCK, RADIUS, bucket_blocks, masks
 
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
@@ -180,7 +180,7 @@ def signatures(docs: DataFrame, key: str, text: str, similarity: Fraction = SIMI
     """docs -> rows (key, node), one per row, and nodes: node, id, key (its smallest), n, fp, sketch, keys (null without words)."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = own.mapInArrow(_describe(bands(similarity)), f"key {own.schema['key'].dataType.simpleString()}, {SIGNATURE}")
+    found = own.mapInArrow(lean(_describe(bands(similarity))), f"key {own.schema['key'].dataType.simpleString()}, {SIGNATURE}")
     found = stored(found, "near-rows")
     nodes = found.groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.max("fp").alias("fp"), *[F.first(c, True).alias(c) for c in ("sketch", "keys")])
     return found.select("key", "node"), stored(nodes.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
@@ -197,16 +197,16 @@ def links(docs: DataFrame, key: str, text: str, nodes: DataFrame, similarity: Fr
     least = least_agreeing(similarity, ROWS * n_bands)
     rows = nodes.where("n is not null").select("id", "n", "fp", F.posexplode("keys").alias("t", "key")).select("id", "n", "fp", (F.col("t") >= n_masks).alias("band"), "key")
     sketches = nodes.select("id", "sketch")
-    maybe = bucket_blocks(rows, ["key"], "id", block, lambda df: df.join(sketches, "id")).mapInArrow(_meet(similarity, least), "u long, v long")
+    maybe = bucket_blocks(rows, ["key"], "id", block, lambda df: df.join(sketches, "id")).mapInArrow(lean(_meet(similarity, least)), "u long, v long")
     groups = components(maybe).withColumnRenamed("node", "id")
     groups = cut(groups.unionByName(groups.select(F.col("root").alias("id"), "root").distinct()))
     wanted = cut(nodes.join(groups.select("id"), "id").select("id", F.col("key").alias("key2"), F.col("node").alias("node2")))
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(wanted, F.col("key") == F.col("key2"))
     # a key may have several texts, and a text several rows of its key
     own = own.where(node_of(F.col("text")) == F.col("node2")).groupBy("id").agg(F.max("text").alias("text"))
-    sets = stored(own.mapInArrow(_sets, "id long, words binary"), "near-sets")
+    sets = stored(own.mapInArrow(lean(_sets), "id long, words binary"), "near-sets")
     attach = lambda df: df.join(sketches, "id").join(sets, "id")
-    return bucket_blocks(groups, ["root"], "id", block // 2, attach).mapInArrow(_compare(similarity, least), "u long, v long")
+    return bucket_blocks(groups, ["root"], "id", block // 2, attach).mapInArrow(lean(_compare(similarity, least)), "u long, v long")
 
 
 def keep_one(docs: DataFrame, key: str, text: str, similarity: Fraction = SIMILARITY, block: int = BLOCK) -> DataFrame:

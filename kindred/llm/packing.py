@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.bytefeatures import EXACT, located_words, parts
-from kindred.llm.shared import batch, small_batches, texts
+from kindred.llm.shared import batch, lean, small_batches, texts
 
 WINDOW = 2048
 #: Open windows a task holds at most. With one more, the fullest is closed by cutting; the rule goes on with all others.
@@ -330,7 +330,7 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    out = own.mapInArrow(_packer(tokenizer_path, end_id, window, with_ids), f"key {kind}, {FIELDS}" + ", ids binary" * with_ids)
+    out = own.mapInArrow(lean(_packer(tokenizer_path, end_id, window, with_ids)), f"key {kind}, {FIELDS}" + ", ids binary" * with_ids)
     return out.withColumnRenamed("key", key)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.shared import batch, cut, free_name, local_stars, node_of, runs, small_batches, stored, texts
+from kindred.llm.shared import batch, cut, free_name, lean, local_stars, node_of, runs, small_batches, stored, texts
 
 RADIUS = 3
 #: Fingerprints compared at once. A larger bucket is dealt out as pairs of blocks of about this size.
@@ -66,7 +66,7 @@ def with_fingerprint(docs: DataFrame, key: str, text: str, width: int = 3) -> Da
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return own.mapInArrow(_fingerprints(width), f"key {kind}, fp long").withColumnRenamed("key", key)
+    return own.mapInArrow(lean(_fingerprints(width)), f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
 def _fingerprints(width: int) -> Callable:
@@ -106,7 +106,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     """
     table = F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("b")) for t, m in enumerate(masks(radius))])
     rows = fps.select("fp", F.explode(table).alias("x")).select("x.t", "x.b", "fp")
-    return bucket_blocks(rows, ["t", "b"], "fp", block).mapInArrow(_compare(radius), "u long, v long").distinct()
+    return bucket_blocks(rows, ["t", "b"], "fp", block).mapInArrow(lean(_compare(radius)), "u long, v long").distinct()
 
 
 def _compare(radius: int) -> Callable:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.bytefeatures import parts, word_hashes
-from kindred.llm.shared import batch, key_names, small_batches, stored, texts
+from kindred.llm.shared import batch, key_names, lean, small_batches, stored, texts
 
 #: Labelled rows that fit() draws at most, by a hash of their key, and bytes of text that they hold together at most; whole
 #: texts are used. A text that alone holds a sixteenth of these bytes isn't learned from.
@@ -239,7 +239,7 @@ def fit(
     drawn = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("key_", "label_")
     rows = rows.join(F.broadcast(drawn), ["key_", "label_"]).select("key_", "label_", "lang_", "text_")
     kind = rows.schema["key_"].dataType.simpleString()
-    got = rows.mapInArrow(_hashes, f"key {kind}, label int, lang string, hashes binary").toArrow()
+    got = rows.mapInArrow(lean(_hashes), f"key {kind}, label int, lang string, hashes binary").toArrow()
     keys, y, langs, raw = (got.column(c).to_pylist() for c in ("key", "label", "lang", "hashes"))
     order = sorted(range(len(keys)), key=lambda i: (str(keys[i]), y[i], raw[i]))
     y = np.array([y[i] for i in order], np.float64)
@@ -284,7 +284,7 @@ def classify(docs: DataFrame, key: list[str | Column], text: str, model: Model,
     fields = "".join(f"`{n}` {f.dataType.simpleString()}, " for n, f in zip(names, kept, strict=True))
     own = own.toDF(*[f"c{i}" for i in range(len(own.columns))])
     shared = spark.sparkContext.broadcast(model)
-    return own.mapInArrow(_classify(shared, names), f"{fields}score double, predicted int, threshold double, toxic boolean")
+    return own.mapInArrow(lean(_classify(shared, names)), f"{fields}score double, predicted int, threshold double, toxic boolean")
 
 
 RESULTS = ("score", "predicted", "threshold", "toxic")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.shared import batch, cut, runs, small_batches, stored
+from kindred.llm.shared import batch, cut, lean, runs, small_batches, stored
 from kindred.llm.simhash import bucket_blocks
 
 #: Width of the confidence bounds, chance of missing a pair at the threshold, vectors compared at once, pairs at once.
@@ -177,9 +177,9 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshol
     same = own.where(ok).groupBy("label", "vec").agg(F.count(F.lit(1)).alias("mass"), F.min("key").alias("first"))
     nodes = cut(same.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
     bits, tables = shape(nodes.count(), threshold)
-    met = nodes.select("node", "label", "dim", "vec").mapInArrow(_keys(bits, tables), f"node long, label {nodes.schema['label'].dataType.simpleString()}, dim int, t int, b long")
+    met = nodes.select("node", "label", "dim", "vec").mapInArrow(lean(_keys(bits, tables)), f"node long, label {nodes.schema['label'].dataType.simpleString()}, dim int, t int, b long")
     attach = lambda df: df.join(nodes.select("node", "mass", "vec"), "node")
-    found = bucket_blocks(met, ["label", "dim", "t", "b"], "node", block, attach).mapInArrow(_compare(bits, tables, threshold), "node long, n long, root long")
+    found = bucket_blocks(met, ["label", "dim", "t", "b"], "node", block, attach).mapInArrow(lean(_compare(bits, tables, threshold)), "node long, n long, root long")
     found = stored(found, "vector-links")
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import batch, cut, small_batches, stored
+from kindred.llm.shared import batch, cut, lean, small_batches, stored
 
 #: Payloads from this many bytes on are stored once.
 LEAST_SHARED = 1000
@@ -49,7 +49,7 @@ def with_types(pages: DataFrame, key: str, url: str, payload: str, least: int =
     again = cut(again.select(F.col("key").alias("key2"), "digest2", "response").distinct())
     named = rows.where(large).join(again, F.col("key").eqNullSafe(F.col("key2")) & (F.col("digest") == F.col("digest2")), "left")
     revisit = F.col("response").isNotNull()
-    types =named.select("key", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
+    types = named.select("key", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
     single = rows.where(~large).select("key", "url", "payload", "digest", F.lit("response").alias("record_type"), F.lit(None).cast(rows.schema["key"].dataType).alias("refers_to"))
     return types.unionByName(single)
 
@@ -95,7 +95,7 @@ def write(pages: DataFrame, key: str, url: str, payload: str, least: int = LEAST
     """
     small_batches(pages.sparkSession)
     rows = with_types(pages, key, url, payload, least)
-    return stored(rows.mapInArrow(_archives, ARCHIVE), "warc")
+    return stored(rows.mapInArrow(lean(_archives), ARCHIVE), "warc")
 
 
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def read(archives: DataFrame, kind: str = "long") -> DataFrame:
     A response's payload is checked against its digest. A revisit's length and digest are those its record states.
     """
     small_batches(archives.sparkSession)
-    out = archives.select("content").mapInArrow(_read(), "key string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
+    out = archives.select("content").mapInArrow(lean(_read()), "key string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
     return out.withColumn("key", F.col("key").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 

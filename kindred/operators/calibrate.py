@@ -45,11 +45,18 @@ def name_threshold(left: DataFrame, right: DataFrame, left_name: str, right_name
     x = _sample(left.select(F.col(f"`{left_name}`").alias("a")), nx, seed).groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     y = _sample(right.select(F.col(f"`{right_name}`").alias("b")), ny, seed + 1).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     probe = "right" if min(ny, SAMPLE) < min(nx, SAMPLE) else "left"
-    if max(nx, ny) > SAMPLE:
-        x, y = x.checkpoint() if _can_checkpoint(x) else x.persist(), y.checkpoint() if _can_checkpoint(y) else y.persist()
+    held = max(nx, ny) > SAMPLE and not _can_checkpoint(x)
+    if held:
+        x, y = x.persist(), y.persist()
+    elif max(nx, ny) > SAMPLE:
+        x, y = x.checkpoint(), y.checkpoint()
     pairs = name_pairs(x, y, "a", "b", distance, q, probe=probe)
     weighted = pairs.join(x, F.col("left_name") == F.col("a")).join(y, F.col("right_name") == F.col("b"))
-    return _quantile(weighted.select(F.col("stringdist").alias("d"), (F.col("m") * F.col("n")).alias("n")), share_of_pairs(target, nx, ny))
+    try:
+        return _quantile(weighted.select(F.col("stringdist").alias("d"), (F.col("m") * F.col("n")).alias("n")), share_of_pairs(target, nx, ny))
+    finally:
+        if held:
+            x.unpersist(), y.unpersist()
 
 
 def vector_threshold(left: DataFrame, right: DataFrame, left_vector: str, right_vector: str, target: float, metric: str | Callable = "euclidean", seed: int = 0) -> float:

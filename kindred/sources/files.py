@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
 import zipfile
 
@@ -16,31 +18,47 @@ from kindred.functions.shipping import ship
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV with a header: .csv or .csv.gz by Spark's reader, .csv.zip (its first .csv) unpacked on an executor.
 
-    Give a schema where it is known, as inferring it reads the file once more.
+    Give a schema where it is known, as inferring it reads the file once more. A quote within quotes is doubled.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("escape", '"')
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     if not re.search(r"\.zip($|\?)", path):
         return reader.csv(path)
     ship(spark)
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzipped, "line string")
-    return reader.csv(lines.rdd.map(lambda r: r.line))  # of text lines, only an RDD or a path will do
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzipped, "record string")
+    strings = getattr(found._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(strings), spark)  # the JVM's reader parses a Dataset of records
 
 
 def _unzipped(frames):
+    """The records of the first .csv of every archive, as they are written; a quoted field may hold line ends."""
     import pandas as pd
 
     for frame in frames:
         for content in frame.content:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 name = next(n for n in sorted(z.namelist()) if n.endswith(".csv"))
-                with io.TextIOWrapper(z.open(name), "utf-8", newline=None) as f:
-                    while part := f.readlines(1 << 20):
-                        yield pd.DataFrame({"line": [x.rstrip("\n") for x in part]})
+                with io.TextIOWrapper(z.open(name), "utf-8", newline="") as f:
+                    records = _records(f)
+                    while part := list(itertools.islice(records, 4096)):
+                        yield pd.DataFrame({"record": part})
+
+
+def _records(lines):
+    held = []
+
+    def noted():
+        for line in lines:
+            held.append(line)
+            yield line
+
+    for _ in csv.reader(noted()):
+        yield "".join(held).rstrip("\r\n")
+        held.clear()
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def load_directory(spark: SparkSession, path: str) -> DataFrame:

@@ -152,6 +152,10 @@ def test_files(spark, tmp_path):
         got = read_csv(spark, str(tmp_path / name))
         assert got.dtypes == [("a", "int"), ("b", "string")] and sorted(map(tuple, got.collect())) == [(1, "x"), (2, "y")]
         assert read_csv(spark, str(tmp_path / name), "a long, b string").dtypes[0] == ("a", "bigint")
+    quoted = 'a,b\r\n1,"two\r\nlines, ""quoted"""\r\n\r\n2,y'
+    with zipfile.ZipFile(tmp_path / "q.csv.zip", "w") as z:
+        z.writestr("q.csv", quoted)
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "q.csv.zip")).collect())) == [(1, 'two\r\nlines, "quoted"'), (2, "y")]
     write_csv(got, str(tmp_path / "out"))
     assert read_csv(spark, str(tmp_path / "out")).count() == 2
     rows = [("Apple, LLC", "B"), ("apple llc", "A"), ("  ", "C"), (None, "D")]

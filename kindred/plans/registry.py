@@ -71,6 +71,26 @@ _A, _B = _GRAMS("left_name"), _GRAMS("right_name")
 _BOTH = f"list_distinct(list_concat({_A}, {_B}))"
 _ENOUGH = "len(left_name) >= 2 and len(right_name) >= 2"
 _DOT = lambda xs, ys: f"coalesce(list_sum([{_COUNT(xs, 'g')} * {_COUNT(ys, 'g')} for g in {_BOTH}]), 0)::double"
+# rows of the table of prefixes, one for each letter of left_name; l[j + 1] belongs to the first j letters of right_name
+_LCS = """list_reduce(list_concat([[0 for j in range(len(right_name) + 1)]], [[i] for i in range(1, len(left_name) + 1)]), lambda l, i: list_transform(
+  [list_concat([0], [greatest(l[j + 1], l[j] + (left_name[i[1]] = right_name[j])::int) for j in range(1, len(right_name) + 1)])],
+  lambda t: [list_max(t[1:j]) for j in range(1, len(right_name) + 2)])[1])"""
+# [the row before, the row]
+_OSA = """list_reduce(list_concat([[[0], [j for j in range(len(right_name) + 1)]]], [[[i]] for i in range(1, len(left_name) + 1)]), lambda l, i: [l[2], list_transform(
+  [list_concat([i[1][1]], [least(l[2][j + 1] + 1, l[2][j] + (left_name[i[1][1]] <> right_name[j])::int,
+    case when i[1][1] > 1 and j > 1 and left_name[i[1][1]] = right_name[j - 1] and left_name[i[1][1] - 1] = right_name[j] then l[1][j - 1] + 1 end) for j in range(1, len(right_name) + 1)])],
+  lambda t: [list_min([t[k] - k for k in range(1, j + 1)]) + j for j in range(1, len(right_name) + 2)])[1]])"""
+
+
+def _SOUNDEX(c: str) -> str:  # noqa: N802
+    """The letter and three digits; h and w part nothing, all else but consonants does. A name that begins with no letter is its own code."""
+    digits = f"translate({c}[1], 'hw', '00') || translate({c}[2:], 'hw', '')"
+    digits = f"regexp_replace(translate({digits}, 'bfpvcgjkqsxzdtlmnr', '111122222222334556'), '[^1-6]', '0', 'g')"
+    for d in "123456":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    return f"case when regexp_matches({c}, '^[a-z]') then upper({c}[1]) || rpad(replace(({digits})[2:], '0', '')[:3], 3, '0') else {c} end"
+
+
 DISTANCE_SQL = {
     "jaccard": f"case when {_ENOUGH} then 1 - len(list_intersect({_A}, {_B})) / len({_BOTH}) end",
     "qgram": f"case when {_ENOUGH} then list_sum([abs({_COUNT(_A, 'g')} - {_COUNT(_B, 'g')}) for g in {_BOTH}])::double end",
@@ -79,6 +99,9 @@ DISTANCE_SQL = {
     "dl": "damerau_levenshtein(left_name, right_name)::double",
     "hamming": "case when len(left_name) = len(right_name) then hamming(left_name, right_name)::double end",
     "jw": "1 - jaro_similarity(left_name, right_name)",
+    "lcs": f"(len(left_name) + len(right_name) - 2 * {_LCS}[-1])::double",
+    "osa": f"{_OSA}[2][-1]::double",
+    "soundex": f"({_SOUNDEX('left_name')} <> {_SOUNDEX('right_name')})::double",
 }
 
 

@@ -41,14 +41,19 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            libc = ctypes.CDLL(None)
-            if hasattr(libc, "malloc_trim"):  # glibc
-                libc.malloc_trim(0)
+            give_back()
 
     return own
 
 
+def give_back() -> None:
+    """Give this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 

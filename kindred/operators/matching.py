@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kindred.functions.distance import BY_LENGTH, name_distance
 from kindred.functions.shipping import ship
 from kindred.operators.blocking import candidates, similar_candidates
+from kindred.operators.vector_blocks import BLOCK, OUT, block_pairs, each_pair, joined, near, symmetric
 
 #: Jaccard similarity from which pairs meet by prefixes of their q-grams, not by all trigrams. Both ways give the same.
 LEAST_SIMILAR = 0.5
-#: Vectors of a block, in which all pairs are computed at once.
-BLOCK = 2048
 
 
 def name_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, distance: str = "jaccard", q: int = 2, blocking: str = "trigram", probe: str | None = None, max_dist: float | None = None) -> DataFrame:
@@ -51,61 +52,35 @@ def smaller(left: DataFrame, right: DataFrame) -> str:
     return "right" if right.count() < left.count() else "left"
 
 
-def _metric(metric: str | Callable) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function of a block of vectors and a block of others: the matrix of distances."""
-    if callable(metric):
-        return lambda a, b: np.stack([np.asarray(metric(v, b), dtype=float) for v in a])
-
-    def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        near = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        return np.sqrt(np.maximum(near, 0))
-
-    if metric == "euclidean":
-        return euclidean
-    if metric == "rmse_eps":
-        return lambda a, b: np.sqrt(1e-4 + euclidean(a, b) ** 2 / a.shape[1])
-    raise ValueError(f"metric is euclidean, rmse_eps or a function, not {metric!r}")
-
-
 def vector_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str, max_dist: float | None = None, metric: str | Callable = "euclidean", block: int = BLOCK) -> DataFrame:
     """left, right -> left_id, right_id, stringdist for pairs at most max_dist apart (None: all pairs but undefined ones).
 
-    The task is all pairs by its definition. Both sides are cut into blocks by a hash of the id; a task computes one pair of
-    blocks as a matrix product, so its memory is bounded, and the sides travel as many times as the other has blocks.
+    The task is all pairs by its definition. Both sides are packed into blocks once; a task computes pairs of blocks as matrix
+    products, so its memory is bounded, and nothing but the packing is shuffled. A table against itself takes half of the
+    pairs where the distance is the same both ways.
     metric: euclidean, rmse_eps, or a function of a vector and a matrix of vectors that returns their distances. Distances
     that the matrix product brings out within rounding of the threshold are computed again as a sum of squares.
     """
-    ship(left.sparkSession)
-    x = left.select(F.col(f"`{left_id}`").alias("lid"), F.col(f"`{left_vector}`").cast("array<double>").alias("lv")).where("lid is not null and lv is not null")
-    y = right.select(F.col(f"`{right_id}`").alias("rid"), F.col(f"`{right_vector}`").cast("array<double>").alias("rv")).where("rid is not null and rv is not null")
-    m, n = (max(1, -(-df.count() // block)) for df in (x, y))
-    x = x.withColumn("i", F.pmod(F.xxhash64("lid"), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    y = y.withColumn("j", F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    kinds = x.schema["lid"].dataType.simpleString(), y.schema["rid"].dataType.simpleString()
-    both = x.groupBy("i", "j").cogroup(y.groupBy("i", "j"))
-    out = both.applyInPandas(_block(metric, max_dist), f"left_id {kinds[0]}, right_id {kinds[1]}, stringdist double")
-    return out
-
-
-def _block(metric: str | Callable, max_dist: float | None) -> Callable:
-    exact = metric in ("euclidean", "rmse_eps") if isinstance(metric, str) else False
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(a) and len(b):
-            u, v = np.stack(a.lv.to_numpy()).astype(float), np.stack(b.rv.to_numpy()).astype(float)
-            measure, limit = _metric(metric), np.inf if max_dist is None else max_dist
-            for first in range(0, len(u), 512):
-                d = measure(u[first : first + 512], v)
-                i, j = np.nonzero(d <= limit + (1e-6 * (1 + abs(limit)) if exact and np.isfinite(limit) else 0))
-                d = d[i, j]
-                i = i + first
-                if exact:
-                    gap = ((u[i] - v[j]) ** 2).sum(axis=1)
-                    d = np.sqrt(gap) if metric == "euclidean" else np.sqrt(gap / u.shape[1] + 1e-4)
-                ok = d <= limit
-                parts.append(pd.DataFrame({"left_id": a.lid.to_numpy()[i[ok]], "right_id": b.rid.to_numpy()[j[ok]], "stringdist": d[ok]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"left_id": a.lid[:0], "right_id": b.rid[:0], "stringdist": np.zeros(0)})
+    x, y = (df.where(F.col(f"`{i}`").isNotNull()) for df, i in ((left, left_id), (right, right_id)))
+    same = symmetric(metric) and (left_id, left_vector) == (right_id, right_vector) and (left is right or left.sameSemantics(right))
+    pairs = block_pairs(x, y, (F.col(f"`{left_id}`"), F.col(f"`{right_id}`")), (F.col(f"`{left_vector}`"), F.col(f"`{right_vector}`")), same, block)
+    kinds = [pairs.schema[f"{side}_carry"].dataType.elementType for side in "lr"]
+    schema = StructType([StructField("left_id", kinds[0]), StructField("right_id", kinds[1]), StructField("stringdist", DoubleType())])
+    return pairs.mapInArrow(_found(metric, float("inf") if max_dist is None else max_dist, same), schema)
+
+
+def _found(metric: str | Callable, limit: float, same: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for own, x, y, u, v in each_pair(batches):
+            for i, j, d in near(u, v, metric, limit):
+                a, b, d = x.take(pa.array(i)), y.take(pa.array(j)), pa.array(d)
+                for one, other in ((a, b), (b, a))[: 2 if same and not own else 1]:
+                    held.append(pa.RecordBatch.from_arrays([one, other, d], names=["left_id", "right_id", "stringdist"]))
+                if sum(len(h) for h in held) >= OUT:
+                    yield from joined(held)
+                    held = []
+        yield from joined(held)
 
     return run
 

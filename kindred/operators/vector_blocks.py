@@ -99,6 +99,12 @@ def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Arra
             yield col["l_at"][r].as_py() == col["r_at"][r].as_py(), *carried, u, v
 
 
+def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many batches as few."""
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def symmetric(metric: str | Callable) -> bool:
     """Whether a distance is the same both ways: the named ones are; a function may say so by an attribute symmetric."""
     return isinstance(metric, str) or bool(getattr(metric, "symmetric", False))

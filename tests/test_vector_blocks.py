@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.operators import assess
+from kindred.operators.matching import vector_pairs
 from kindred.plans import registry
 
 
@@ -52,3 +54,53 @@ def test_assessment_shuffles_no_pairs(spark):
     row, moved = shuffled(spark, lambda: registry.QUERIES["assess_vectors"](spark, "/root/testdata/sf0.01").first())
     assert row.tp + row.fp == row.n_matched == 3556 and sum(row) - row.n_matched == 250_000
     assert moved < 2 * 500 * 64 * 4
+
+
+def brute(u, v, limit):
+    d = np.sqrt(((u[:, None] - v[None]) ** 2).sum(2))
+    return {(i, j): d[i, j] for i, j in zip(*np.nonzero(d <= limit), strict=True)}
+
+
+def pairs_of(df):
+    rows = df.collect()
+    got = {(r.left_id, r.right_id): r.stringdist for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_pairs_of_blocks(spark, kind):
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=(61, 6)).astype(np.float32).astype(float)
+    x = table(spark, u).withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    y = table(spark, u[:20]).withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    for other, w in ((x, u), (y, u[:20])):
+        want = brute(u, w, 2.0)
+        got = pairs_of(vector_pairs(x, other, "id", "id", "v", "v", 2.0, block=7))
+        assert got == pytest.approx(want) and len(want) > 61
+    assert len(pairs_of(vector_pairs(x, x, "id", "id", "v", "v", None, block=7))) == 61 * 61
+    assert vector_pairs(x, x.limit(0), "id", "id", "v", "v", 2.0).count() == 0
+    uneven = lambda a, b: np.full(len(b), a[0])
+    assert pairs_of(vector_pairs(x, x, "id", "id", "v", "v", 0.0, uneven, block=7)).keys() == {(i, j) for i in range(61) for j in range(61) if u[i, 0] <= 0}
+
+
+def test_equal_vectors_far_from_the_origin(spark):
+    """Products of numbers of 1e7 round by more than the gap between equal vectors; before, such pairs were lost."""
+    u = 1e7 + np.random.default_rng(5).normal(size=(30, 64))
+    x = table(spark, [*u, *u])
+    assert pairs_of(vector_pairs(x, x, "id", "id", "v", "v", 0.0)).keys() == {(i, j) for i in range(60) for j in range(60) if (i - j) % 30 == 0}
+
+
+def moved_by_size(spark, metric, limit):
+    """Bytes shuffled for all pairs of 400 vectors and of 1,600, in blocks of 50."""
+    out = []
+    for n in (400, 1600):
+        x = table(spark, np.random.default_rng(6).normal(size=(n, 16)))
+        out.append(shuffled(spark, lambda x=x: vector_pairs(x, x, "id", "id", "v", "v", limit, metric, block=50).write.format("noop").mode("overwrite").save())[1])
+    return out
+
+
+def test_shuffle_follows_the_rows(spark):
+    """Four times the rows, 16 times the pairs of blocks; before, 16 times the bytes."""
+    small, large = moved_by_size(spark, "euclidean", 2.0)
+    assert 0 < large < 6 * small

@@ -104,3 +104,18 @@ def test_shuffle_follows_the_rows(spark):
     """Four times the rows, 16 times the pairs of blocks; before, 16 times the bytes."""
     small, large = moved_by_size(spark, "euclidean", 2.0)
     assert 0 < large < 6 * small
+
+
+def test_shuffle_of_rmse_follows_the_rows(spark):
+    small, large = moved_by_size(spark, "rmse_eps", 0.4)
+    assert 0 < large < 6 * small
+
+
+def test_rmse_at_its_floor(spark):
+    """Equal vectors are 0.01 apart: no pair at less, those of equal vectors at just that."""
+    u = np.random.default_rng(7).normal(size=(12, 9))
+    x = table(spark, [*u, *u])
+    run = lambda limit: pairs_of(vector_pairs(x, x, "id", "id", "v", "v", limit, "rmse_eps", block=5))
+    assert run(0.009) == {} and run(0.01).keys() == {(i, j) for i in range(24) for j in range(24) if (i - j) % 12 == 0}
+    d = np.sqrt(1e-4 + ((u[:, None] - u[None]) ** 2).mean(2))
+    assert len(run(1.2)) == 4 * (d <= 1.2).sum()

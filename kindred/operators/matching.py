@@ -60,6 +60,8 @@ def vector_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     pairs where the distance is the same both ways.
     metric: euclidean, rmse_eps, or a function of a vector and a matrix of vectors that returns their distances. Distances
     that the matrix product brings out within rounding of the threshold are computed again as a sum of squares.
+    A function may state by attributes that it is symmetric (bool), and give lower bounds at_least(u, v) of the distances
+    of all rows of two matrices, such as manhattan_at_least; it is then called for pairs alone whose bound is within max_dist.
     """
     x, y = (df.where(F.col(f"`{i}`").isNotNull()) for df, i in ((left, left_id), (right, right_id)))
     same = symmetric(metric) and (left_id, left_vector) == (right_id, right_vector) and (left is right or left.sameSemantics(right))

@@ -22,7 +22,7 @@ from kindred.functions.shipping import ship
 #: Vectors of a block, pairs looked at together, hits computed together, rows of a batch that a task returns.
 BLOCK, TILE, HITS, OUT = 2048, 1 << 19, 1 << 15, 1 << 16
 #: Blocks of a partition at most, and partitions wanted before one takes more than one block.
-HELD, SPREAD = 8, 24
+HELD, SPREAD = 8, 12
 
 
 def block_pairs(left: DataFrame, right: DataFrame, carry: tuple[Column, Column], vector: tuple[Column, Column], same: bool, block: int = BLOCK) -> DataFrame:
@@ -153,7 +153,50 @@ def _candidates(u: np.ndarray, v: np.ndarray, metric: str, limit: float, tile: i
 
 
 def _by_function(u: np.ndarray, v: np.ndarray, metric: Callable, limit: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The function's own distances: of all pairs, or where it has an attribute at_least, of those whose lower bound is within the limit."""
+    at_least = getattr(metric, "at_least", None) if limit < np.inf else None
     for first in range(0, len(u), tile):
-        d = np.stack([np.asarray(metric(x, v), dtype=float) for x in u[first : first + tile]])
-        i, j = np.nonzero(d <= limit)
-        yield i + first, j, d[i, j]
+        part = u[first : first + tile]
+        if at_least is None:
+            d = np.stack([np.asarray(metric(x, v), dtype=float) for x in part])
+            i, j = np.nonzero(d <= limit)
+            yield i + first, j, d[i, j]
+            continue
+        i, j = np.nonzero(~(at_least(part, v) > limit))
+        edges = np.searchsorted(i, np.arange(len(part) + 1))
+        rows = [k for k in range(len(part)) if edges[k] < edges[k + 1]]
+        if rows:
+            d = np.concatenate([np.asarray(metric(part[k], v[j[edges[k] : edges[k + 1]]]), dtype=float) for k in rows])
+            ok = d <= limit
+            yield i[ok] + first, j[ok], d[ok]
+
+
+def manhattan_at_least(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Lower bounds of the sums of absolute differences of all pairs of rows, for a function's attribute at_least.
+
+    Components are rounded to whole steps, so few that sums fit 16 bits; |x - y| = 2 max(x, y) - x - y of these, less what
+    the rounding of both rows can have added, is no more than the distance. -inf where a number isn't finite.
+    """
+    dims = u.shape[1]
+    levels = 65535 // max(dims, 1)
+    whole = [np.isfinite(w).all(axis=1) for w in (u, v)]
+    flat = np.concatenate([w[k].ravel() for w, k in zip((u, v), whole, strict=True)] + [np.zeros(0)])
+    low, high = (flat.min(), flat.max()) if flat.size else (0.0, 0.0)
+    step = (high - low) / levels if levels else 0.0
+    if not 0 < step < np.inf:
+        return np.full((len(u), len(v)), -np.inf)
+    x, y = (np.where(k[:, None], w, low) for w, k in zip((u, v), whole, strict=True))
+    p, q = (np.clip(np.rint((w - low) / step), 0, levels).astype(np.uint16) for w in (x, y))
+    # what a row's rounding can add, and its steps
+    lost = [np.where(k, np.abs(w - (low + n * step)).sum(axis=1), np.inf) for w, n, k in zip((x, y), (p, q), whole, strict=True)]
+    base = q.sum(axis=1, dtype=np.int64) * step + lost[1] + 1e-12 * (abs(low) + abs(high)) * dims
+    own = p.sum(axis=1, dtype=np.int64) * step + lost[0]
+    columns, tops, out = np.ascontiguousarray(q.T), np.empty(len(v), np.uint16), np.empty((len(u), len(v)))
+    larger = np.empty_like(columns)
+    for k in range(len(p)):
+        np.maximum(columns, p[k][:, None], out=larger)
+        np.add.reduce(larger, axis=0, dtype=np.uint16, out=tops)
+        np.multiply(tops, 2 * step, out=out[k])
+        out[k] -= base
+        out[k] -= own[k]
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators import assess
 from kindred.operators.matching import vector_pairs
+from kindred.operators.vector_blocks import manhattan_at_least
 from kindred.plans import registry
 
 
@@ -119,3 +120,35 @@ def test_rmse_at_its_floor(spark):
     assert run(0.009) == {} and run(0.01).keys() == {(i, j) for i in range(24) for j in range(24) if (i - j) % 12 == 0}
     d = np.sqrt(1e-4 + ((u[:, None] - u[None]) ** 2).mean(2))
     assert len(run(1.2)) == 4 * (d <= 1.2).sum()
+
+
+def test_custom_metric_is_called_for_few_pairs(spark):
+    """Before, an own metric was called for all pairs, whatever is known of it."""
+    called = spark.sparkContext.accumulator(0)
+
+    def own(vector, others):
+        called.add(len(others))
+        return registry.manhattan(vector, others)
+
+    own.symmetric, own.at_least = True, manhattan_at_least
+    u = np.random.default_rng(8).normal(size=(300, 16))
+    x = table(spark, u)
+    d = np.abs(u[:, None] - u[None]).sum(2)
+    want = {(i, j): d[i, j] for i, j in zip(*np.nonzero(d <= 10.0), strict=True)}
+    assert pairs_of(vector_pairs(x, x, "id", "id", "v", "v", 10.0, own, block=64)) == pytest.approx(want)
+    assert 300 < len(want) and len(want) / 2 <= called.value < 0.1 * 300 * 300
+
+
+def test_lower_bounds_of_manhattan():
+    rng = np.random.default_rng(9)
+    for make in (lambda n: rng.normal(size=(n, 64)) / 8, lambda n: 1e6 + rng.normal(size=(n, 3)), lambda n: rng.integers(-2, 3, (n, 5)).astype(float), lambda n: rng.normal(size=(n, 300)) ** 9,
+                 lambda n: np.ones((n, 4)), lambda n: rng.normal(size=(n, 70_000))):
+        u, v = make(9), make(7)
+        d = np.stack([registry.manhattan(a, v) for a in u])
+        bound = manhattan_at_least(u, v)
+        assert (bound <= d).all()
+    u, v = rng.normal(size=(50, 64)) / 8, rng.normal(size=(40, 64)) / 8
+    assert (np.abs(u[:, None] - v[None]).sum(2) - manhattan_at_least(u, v)).max() < 0.1  # near enough to rule pairs out
+    u[3, 2], v[1, 0], v[2, 0] = np.nan, np.inf, -np.inf
+    bound = manhattan_at_least(u, v)
+    assert np.isneginf(bound[3]).all() and np.isneginf(bound[:, [1, 2]]).all() and np.isfinite(np.delete(np.delete(bound, 3, 0), [1, 2], 1)).all()
